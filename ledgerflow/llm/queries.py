@@ -7,15 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerflow.llm.common import read_table
+from ledgerflow.llm.packing import pack
 from ledgerflow.llm.simhash import near_duplicates
+from ledgerflow.llm.token_counts import token_counts
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read_table(spark, sf_dir, "documents"))
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_simhash_near_dedup": op4_simhash_near_dedup}
+    return {f.__name__: f for f in (op1_token_counts, op4_simhash_near_dedup, op5_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
