@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerflow.llm.common import read_table
 from ledgerflow.llm.packing import pack
+from ledgerflow.llm.quality import quality_scores
 from ledgerflow.llm.simhash import near_duplicates
 from ledgerflow.llm.token_counts import token_counts
+from ledgerflow.llm.toxicity import toxicity_scores
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +26,16 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op4_simhash_near_dedup, op5_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op4_simhash_near_dedup, op5_best_fit_packing, op6_toxicity, op7_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
