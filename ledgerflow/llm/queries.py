@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerflow.llm.common import read_table
+from ledgerflow.llm.license_scan import license_scan, license_scan_sql
 from ledgerflow.llm.packing import pack
 from ledgerflow.llm.quality import quality_scores
 from ledgerflow.llm.simhash import near_duplicates
@@ -18,6 +19,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read_table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -35,8 +40,8 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op4_simhash_near_dedup, op5_best_fit_packing, op6_toxicity, op7_quality_classifier)}
+    return {f.__name__: f for f in (op1_token_counts, op2_license_scan, op4_simhash_near_dedup, op5_best_fit_packing, op6_toxicity, op7_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_license_scan": license_scan_sql()}
