@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerflow.llm.common import read_table
 from ledgerflow.llm.license_scan import license_scan, license_scan_sql
 from ledgerflow.llm.packing import pack
 from ledgerflow.llm.quality import quality_scores
+from ledgerflow.llm.secret_scan import secret_scan
 from ledgerflow.llm.simhash import near_duplicates
 from ledgerflow.llm.token_counts import token_counts
+from ledgerflow.llm.topk import exact_top_k, exact_top_k_sql
 from ledgerflow.llm.toxicity import toxicity_scores
 
 
@@ -23,6 +26,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read_table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(read_table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -39,9 +46,13 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_license_scan, op4_simhash_near_dedup, op5_best_fit_packing, op6_toxicity, op7_quality_classifier)}
+    return {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_secret_scan, op4_simhash_near_dedup, op5_best_fit_packing, op6_toxicity, op7_quality_classifier, op9_exact_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": license_scan_sql()}
+    return {"op2_license_scan": license_scan_sql(), "op9_exact_top_k": exact_top_k_sql()}
