@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerflow.llm.common import read_table
+from ledgerflow.llm.hmm import lm_scores
 from ledgerflow.llm.license_scan import license_scan, license_scan_sql
 from ledgerflow.llm.packing import pack
 from ledgerflow.llm.quality import quality_scores
@@ -50,8 +51,12 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_secret_scan, op4_simhash_near_dedup, op5_best_fit_packing, op6_toxicity, op7_quality_classifier, op9_exact_top_k)}
+    return {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_secret_scan, op4_simhash_near_dedup, op5_best_fit_packing, op6_toxicity, op7_quality_classifier, op9_exact_top_k, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
