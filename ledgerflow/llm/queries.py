@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerflow.llm.common import read_table
+from ledgerflow.llm.decontaminate import contaminated
 from ledgerflow.llm.hmm import lm_scores
 from ledgerflow.llm.license_scan import license_scan, license_scan_sql
 from ledgerflow.llm.packing import pack
@@ -47,6 +48,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -56,7 +61,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_secret_scan, op4_simhash_near_dedup, op5_best_fit_packing, op6_toxicity, op7_quality_classifier, op9_exact_top_k, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_secret_scan, op4_simhash_near_dedup, op5_best_fit_packing, op6_toxicity, op7_quality_classifier, op8_benchmark_decontamination, op9_exact_top_k, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
