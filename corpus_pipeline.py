@@ -5,16 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerflow.llm.common import Scratch, read_table
+from ledgerflow.llm.decontaminate import drop_contaminated
+from ledgerflow.llm.packing import pack
+from ledgerflow.llm.secret_scan import redact_secrets
 from ledgerflow.llm.simhash import near_duplicates
+from ledgerflow.llm.toxicity import drop_toxic
 
 
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the smallest doc_id, of each group that SimHash links; all of its columns."""
-    kept = near_duplicates(docs).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from the labels of the documents given, rejects go."""
+    return drop_toxic(docs, read_table(spark, sf_dir, "labels"))
 
 
-STAGES = [("drop_near_copies", drop_near_copies)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that SimHash links the smallest doc_id stays; rows without an id stay."""
+    copies = near_duplicates(docs).where("component_id < doc_id").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; secrets in their texts are masked."""
+    return redact_secrets(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and their places in sequences."""
+    return pack(docs)
+
+
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("secrets", secrets), ("packing", packing)]
 
 #: The stages learn, hash and tokenize, which SQL can't express; tests compare them with brute force.
 ORACLE_SQL = None
@@ -22,6 +46,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = read_table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
-    for name, stage in STAGES[:-1]:
+    for _, stage in STAGES[:-1]:
         docs = scratch.save(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

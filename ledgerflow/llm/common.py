@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -74,3 +74,25 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Itera
             size += len(text)
         if start < len(ids):
             yield ids[start:], texts[start:]
+
+
+def keep_rows(docs: DataFrame, keeps: Callable[[], Callable[[list[bytes]], list[bool]]], text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text is kept; nothing is shuffled.
+
+    keeps is called once in each task and gives the function from texts (null: empty) to decisions.
+    """
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decide = keeps()
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(place).cast(pa.binary()).to_pylist()]
+            mask, start, size = [], 0, 0
+            for i, text in enumerate(texts):
+                if size and size + len(text) > SLICE_BYTES:
+                    mask += decide(texts[start:i])
+                    start, size = i, 0
+                size += len(text)
+            yield batch.filter(pa.array(mask + decide(texts[start:]), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import slices, texts_of
+from ledgerflow.llm.common import keep_rows, slices, texts_of
 from ledgerflow.llm.training import FOLDS, fold_of, labelled_sample
 
 #: Feature space; weights that reach the driver and the executors are at most this many.
@@ -96,6 +96,22 @@ def fit(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return found["place"].to_numpy(np.int64), found["weight"].to_numpy(np.float64)
 
 
+def _scorer(weights: tuple[np.ndarray, np.ndarray]):
+    """From texts to their scores."""
+    dense = np.zeros((1 << BITS) + 1)
+    dense[weights[0]] = weights[1]
+    used = dense[:-1] != 0
+
+    def score(texts: list[bytes]) -> np.ndarray:
+        total = np.empty(len(texts))
+        for i, text in enumerate(texts):
+            at = features(text)
+            total[i] = dense[np.unique(at[used[at]])].sum() + dense[-1]
+        return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
+
+    return score
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score in 0..1, predicted: score >= 0.5), one row per input row.
 
@@ -103,20 +119,23 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label_col: str = "toxic"
     feature counts once per text. Null and empty texts get the bias alone; without labels every score is 0.5. Rows that
     repeat or have no doc_id get a row each.
     """
-    place, weight = fit(labelled_sample(docs, labels, label_col, sample, id_col, text_col))
-    model = docs.sparkSession.sparkContext.broadcast((place, weight))  # at most 2**BITS + 1 pairs
+    model = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, labels, label_col, sample, id_col, text_col)))  # at most 2**BITS + 1 pairs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = np.zeros((1 << BITS) + 1)
-        dense[model.value[0]] = model.value[1]
-        used = dense[:-1] != 0
+        score = _scorer(model.value)
         for ids, texts in slices(batches):
-            total = np.empty(len(texts))
-            for i, text in enumerate(texts):
-                at = features(text)
-                total[i] = dense[np.unique(at[used[at]])].sum() + dense[-1]
-            score = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(score)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(score(texts))], names=["doc_id", "score"])
 
     scored = texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", (fold_of("doc_id", FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose toxicity score is 0.5 or less; without labels all of them."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, labels, label_col, sample, id_col, text_col)))
+
+    def keeps():
+        score = _scorer(model.value)
+        return lambda texts: (score(texts) <= 0.5).tolist()
+
+    return keep_rows(docs, keeps, text_col)
