@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.functions import scalar
-from ledgerflow.operators import history, integrity, ledger, log, outbox, quorum, sessions, snapshots
+from ledgerflow.operators import history, integrity, ledger, log, messages, outbox, quorum, sessions, snapshots
 from ledgerflow.plans import mapping
 from ledgerflow.plans.mapping import table
 from ledgerflow.streaming import ledger as stream
@@ -336,3 +336,39 @@ def batch_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mapping.log(spark, sf_dir).where(F.col("index") % 1000 == 999).select("index", scalar.snapshot_name(F.col("index")).alias("name"))
     return rows.withColumn("parsed", scalar.snapshot_index(F.col("name")))
+
+
+@query("""WITH m AS (SELECT event_id, CASE event_type WHEN 'signup' THEN 'Prepare' WHEN 'click' THEN 'PrepareBatch' WHEN 'purchase' THEN 'PrepareOk' WHEN 'view' THEN 'Commit' ELSE 'CatchUpResponse' END AS kind, (props->>'$.k')::BIGINT % 4 AS n FROM events)
+SELECT event_id, kind, CASE WHEN kind IN ('Prepare', 'PrepareOk') THEN event_id WHEN kind = 'PrepareBatch' THEN event_id + greatest(n - 1, 0) WHEN kind = 'CatchUpResponse' AND n > 0 THEN event_id + n - 1 END AS index FROM m""")
+def message_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("event_type")
+    kind = F.when(t == "signup", "Prepare").when(t == "click", "PrepareBatch").when(t == "purchase", "PrepareOk").when(t == "view", "Commit").otherwise("CatchUpResponse")
+    m = table(spark, sf_dir, "events").select("event_id", kind.alias("kind"), (F.get_json_object("props", "$.k").cast("long") % 4).alias("n"))
+    return m.select("event_id", "kind", messages.message_index(F.col("kind"), F.col("event_id"), F.col("n")).alias("index"))
+
+
+@query("""WITH m AS (SELECT o_orderkey AS "time", CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS commit_index FROM orders)
+SELECT *, max(least(commit_index, CASE WHEN commit_index IS NOT NULL THEN 1000 END)) OVER (ORDER BY "time") AS committed FROM m""")
+def commit_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("time"), F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")).alias("commit_index"))
+    return messages.commits(m, "time", "commit_index", 1000)
+
+
+@query('WITH m AS (SELECT o_orderkey AS "time", o_custkey AS view, max(o_custkey) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS current FROM orders) SELECT *, view >= 20 AND view > coalesce(current, -1) AS adopted FROM m')
+def start_view_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("time"), F.col("o_custkey").alias("view"))
+    return messages.start_views(rows, "time", "view", 20)
+
+
+@query("""WITH f AS (SELECT event_id AS index, CASE WHEN event_id % 10 <> 3 THEN 'received' ELSE 'caught_up' END AS source FROM events WHERE event_id % 10 <> 3 OR event_id < 0.7 * (SELECT max(event_id) FROM events)),
+g AS (SELECT min(range) AS gap FROM range((SELECT max(index) + 2 FROM f)) WHERE range NOT IN (SELECT index FROM f)) SELECT index, source FROM f, g WHERE index < gap""")
+def gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mapping.log(spark, sf_dir).select("index")
+    i = F.col("index")
+    return messages.fill_gaps(rows.where(i % 10 != 3), rows.where((i % 10 == 3) & (i < 0.7 * mapping.last_index(spark, sf_dir))))
+
+
+@query("SELECT min(r.range) AS from_index, max(r.range) AS to_index FROM range((SELECT max(l_orderkey) + 1 FROM lineitem)) r WHERE r.range NOT IN (SELECT l_orderkey FROM lineitem) GROUP BY r.range // 100")
+def catch_up_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    received = mapping.acks(spark, sf_dir)
+    return messages.wanted(received, 0, received.agg(F.max("index")).first()[0])

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerflow.operators import history, integrity, ledger, log, outbox, quorum, sessions, snapshots
+from ledgerflow.operators import history, integrity, ledger, log, messages, outbox, quorum, sessions, snapshots
 from ledgerflow.operators.ordered import prefix
 from ledgerflow.schema import AMOUNT_MAX
 
@@ -203,3 +203,14 @@ def test_manifest(spark):
     one = spark.createDataFrame([(3, None, None, 7, 3)], "highest_view long, voted_for_view long, voted_for_node int, last_log_index long, last_log_view long")
     verdict = lambda view, index: integrity.manifest_check(one, view, index).first()["verdict"]
     assert (verdict(4, 7), verdict(3, 5), verdict(3, 6), verdict(None, 7)) == ("behind_log", "ahead_of_log", "ok", "ok")
+
+
+def test_messages(spark):
+    rows = spark.createDataFrame([(0, None), (1, 0), (2, 9), (3, 4)], "t long, c long")
+    assert [r.committed for r in messages.commits(rows, "t", "c", 6).orderBy("t").collect()] == [None, 0, 6, 6]
+    assert [r.committed for r in messages.commits(rows, "t", "c", None).collect()] == [None] * 4
+    views = spark.createDataFrame([(0, 2), (1, 5), (2, 5), (3, 4), (4, 6)], "t long, v long")
+    assert [r.adopted for r in messages.start_views(views, "t", "v", 3).orderBy("t").collect()] == [False, True, False, False, True]
+    one = lambda *x: spark.createDataFrame([(i,) for i in x], "index long")
+    assert got(messages.fill_gaps(one(0, 1, 4), one(1, 2, 3, 7))) == [(0, "received"), (1, "received"), (2, "caught_up"), (3, "caught_up"), (4, "received")]
+    assert got(messages.wanted(one(0, 1, 5), 0, 6, 3)) == [(2, 2), (3, 4), (6, 6)]
