@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 #: Candidates whose lists one task sorts, and queries that it answers.
 BLOCK, QUERIES = 16_384, 1_024
-#: Entries read from each list in a round.
-ROUND = 512
+#: Shares of the lists read by the end of each round; queries whose bounds are computed together.
+DEPTHS, GROUP = (0.8, 0.9, 1.0), 256
+#: Below any score.
+NOTHING = -(1 << 62)
+#: Products up to this size are exact as doubles, which multiply faster than integers.
+EXACT = 1 << 52
 
 
 def quantized(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
@@ -23,70 +27,65 @@ def quantized(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
 
 
 class SortedLists:
-    """One list per dimension, its block's components in ascending order, read from either end."""
+    """One list per dimension, its block's components in ascending order, read entry by entry from either end.
 
-    def __init__(self, vectors: np.ndarray):
-        self.order = np.ascontiguousarray(np.argsort(vectors, axis=0, kind="stable").T.astype(np.int32))
-        self.values = np.ascontiguousarray(np.take_along_axis(vectors, self.order.T.astype(np.int64), axis=0).T)
-        self.n = len(vectors)
-
-    def top(self, query: np.ndarray, ids: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        """(score, id) of the k best by score, ties to the smaller id, without the query's own id.
+    A query reads each list from the end where its product with the entries is largest. How deep the lists are read is the same for
+    all queries of a round, so what has been read from either end is one table for all of them, with bounds in place of unread entries:
+    the list's far end for a lower bound, its next entry for an upper one. Their products with a group of queries are all its bounds.
+    """
 
-        A list gives query[d] * component, the largest first. Rounds read the next entries of every list. An entry
-        adds to its candidate's sum, and a candidate's score lies between the sum with each unread list's last and with its
-        next entry. Once the k-th best lower bound is above every upper bound outside, no outsider can qualify; the
-        rest of the lists is read for the candidates left alone, which resolves their scores.
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray):
+        self.n, self.ids = len(ids), ids
+        self.vectors = vectors
+        order = np.argsort(vectors, axis=0, kind="stable")
+        self.values = np.take_along_axis(vectors, order, axis=0)
+        self.place = np.empty_like(order)
+        np.put_along_axis(self.place, order, np.arange(self.n)[:, None], axis=0)
+
+    def read(self, depth: int) -> tuple[np.ndarray, ...]:
+        """Tables after depth entries of every list: from the top (lower, upper bound), from the bottom (lower, upper bound)."""
+        x, v, n = self.vectors, self.values, self.n
+        top, bottom = self.place >= n - depth, self.place < depth
+        unread = min(depth, n - 1)
+        return np.where(top, x, v[0]), np.where(top, x, v[n - 1 - unread]), np.where(bottom, x, v[-1]), np.where(bottom, x, v[unread])
+
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+        """(query's id, id, score) of each query's k best by score, ties to the smaller id, without ids equal to its own.
+
+        After a round, a candidate whose upper bound is below the k-th best lower bound can't qualify. Once few are left, the rest of
+        the lists is read for them alone, which resolves their scores; at full depth both bounds are the score.
         """
-        n = self.n
-        used = np.flatnonzero(query)
-        # every candidate starts from the sum of the lists' last entries; an entry read adds what it is above its list's last
-        floor = sum(min(int(query[d]) * int(self.values[d, 0]), int(query[d]) * int(self.values[d, -1])) for d in used)
-        low = np.full(n, floor, np.int64)
-        self_at = np.flatnonzero(ids == own)
-        k = min(k, n - len(self_at))
-        if k <= 0:
-            return []
-        lists = [(self.order[d], self.values[d] * query[d]) if query[d] < 0 else (self.order[d][::-1], self.values[d][::-1] * query[d]) for d in used]
-        at, alive = 0, None
-        marks = np.zeros((len(used), n), np.bool_)
-        while at < n:
-            end = min(n, at + ROUND)
-            for j, (order, gain) in enumerate(lists):
-                ids_read, last = order[at:end], gain[-1]
-                low[ids_read] += gain[at:end] - last
-                marks[j, ids_read] = True
-            at = end
-            if at >= n or at < n // 2:
-                continue  # upper bounds rule out nothing while a list's next entry is above zero
-            gaps = np.array([gain[at] - gain[-1] for _, gain in lists], np.int64)
-            high = low + gaps.sum() - gaps @ marks
-            sound = low.copy()
-            sound[self_at] = np.iinfo(np.int64).min
-            bound = np.partition(sound, n - k)[n - k]
-            alive = np.flatnonzero(high >= bound)
-            if len(alive) <= max(4 * k, 64):
+        out, k = [], min(k, self.n)
+        left = np.arange(len(queries))
+        for depth in sorted({max(1, round(self.n * share)) for share in DEPTHS}):
+            tables, waiting = self.read(depth), []
+            for at in range(0, len(left), GROUP):
+                group = left[at : at + GROUP]
+                up, down = np.maximum(queries[group], 0), np.minimum(queries[group], 0)
+                low = up @ tables[0].T + down @ tables[2].T
+                high = low if depth == self.n else up @ tables[1].T + down @ tables[3].T
+                itself = self.ids == own[group][:, None]
+                low[itself] = high[itself] = NOTHING
+                bound = np.partition(low, self.n - k, axis=1)[:, self.n - k]
+                alive = (high >= bound[:, None]) & (high > NOTHING)
+                few = (alive.sum(1) <= max(4 * k, self.n // 32)) | (depth == self.n)
+                waiting.append(group[~few])
+                for row in np.flatnonzero(few):
+                    found = np.flatnonzero(alive[row])
+                    score = self.vectors[found] @ queries[group[row]]
+                    best = np.lexsort((self.ids[found], -score))[:k]
+                    out += [(int(own[group[row]]), int(self.ids[found[i]]), int(score[i])) for i in best]
+            left = np.concatenate(waiting) if waiting else left[:0]
+            if not len(left):
                 break
-        if at < n and alive is not None:  # read on, for the candidates left
-            keep = np.zeros(n, np.bool_)
-            keep[alive] = True
-            for order, gain in lists:
-                rest = order[at:]
-                mine = keep[rest]
-                low[rest[mine]] += gain[at:][mine] - gain[-1]
-            candidates = alive
-        else:
-            candidates = np.arange(n)
-        candidates = candidates[~np.isin(candidates, self_at)]
-        best = candidates[np.lexsort((ids[candidates], -low[candidates]))[:k]]
-        return [(int(low[i]), int(ids[i])) for i in best]
+        return out
 
 
 def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where is_query, its k largest integer inner products with other rows.
 
     Rows are dealt by hash to blocks of about block candidates and about queries queries; a task sorts one block's lists
-    and answers one block of queries from them. Results of a query from all blocks, k each, are ranked together. Fewer
+    and answers one group of queries from them. Results of a query from all blocks, k each, are ranked together. Fewer
     rows than k give all; ties go to the smaller vec_id; vectors of different lengths aren't compared. Rows that repeat an id are
     candidates each, but none for a query of their own id. Vectors that are null or hold a null, NaN or infinity take no
     part. An empty table gives none. Scores must fit a long.
@@ -104,11 +103,10 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str =
         out = []
         if len(block_rows) and len(query_rows):
             block_rows = block_rows.sort_values("vec_id", kind="stable")
-            ids = block_rows["vec_id"].to_numpy()
-            matrix = np.array(block_rows["v"].tolist(), np.int64).reshape(len(ids), -1)
-            lists = SortedLists(matrix)
-            for own, v in zip(query_rows["vec_id"], query_rows["v"], strict=True):
-                out += [(own, i, s) for s, i in lists.top(np.array(v, np.int64), ids, own, k)]
+            x, q = (np.array(rows["v"].tolist(), np.int64).reshape(len(rows), -1) for rows in (block_rows, query_rows))
+            if x.shape[1] * float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) < EXACT:
+                x, q = x.astype(np.float64), q.astype(np.float64)
+            out = SortedLists(x, block_rows["vec_id"].to_numpy()).top(q, query_rows["vec_id"].to_numpy(), k)
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     found = left.groupBy("d", "b", "g").cogroup(right.groupBy("d", "b", "g")).applyInPandas(answer, "query_id long, vec_id long, score long")
