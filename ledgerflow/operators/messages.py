@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.operators.ordered import prefix
+from ledgerflow.operators.quorum import range_past
 
 
 def message_index(kind: Column, index: Column, entries: Column) -> Column:
@@ -35,10 +36,8 @@ def fill_gaps(received: DataFrame, caught_up: DataFrame, start: int = 0) -> Data
     """(index, source) of the contiguous run from start in received and caught_up (index): received entries come first, each index once."""
     rows = received.select("index", F.lit("received").alias("source")).unionByName(caught_up.select("index", F.lit("caught_up").alias("source")))
     firsts = rows.where(F.col("index") >= start).groupBy("index").agg(F.max("source").alias("source"))  # received sorts last
-    top = firsts.agg(F.max("index").alias("top"))
-    every = top.select(F.explode(F.sequence(F.lit(start).cast("long"), F.coalesce("top", F.lit(start - 1)) + 1)).alias("index"))
-    gap = every.join(firsts, "index", "left_anti").agg(F.min("index").alias("gap"))  # one row
-    return firsts.join(F.broadcast(gap), F.col("index") < F.col("gap")).select("index", "source")
+    gap = range_past(rows, start).join(firsts, "index", "left_anti").agg(F.min("index")).first()[0]
+    return firsts.where(F.col("index") < gap).select("index", "source")
 
 
 def wanted(received: DataFrame, start: int, known: int, page: int = 100) -> DataFrame:

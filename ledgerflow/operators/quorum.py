@@ -41,14 +41,19 @@ def committable(acks: DataFrame, quorum: int, committed: int | None = None) -> i
     return committed if gap == first else gap - 1
 
 
+def range_past(indexes: DataFrame, start: int) -> DataFrame:
+    """(index) of start..max + 1, as a distributed range; start alone if indexes has none from there on."""
+    top = indexes.agg(F.max("index")).first()[0]
+    return indexes.sparkSession.range(start, max(start, -1 if top is None else top + 1) + 1).withColumnRenamed("id", "index")
+
+
 def committed_prefix(acks: DataFrame, quorums: list[int]) -> DataFrame:
     """(quorum, first_gap, committable) from index 0 for each size; committable is null where index 0 lacks it.
 
-    One pass: the first index of 0..max + 1 whose votes are too few is a conditional minimum, no window over the log.
+    The first index of 0..max + 1 whose votes are too few is a conditional minimum, no window over the log; the largest index is found first.
     """
     counted = votes(acks, 1)
-    top = counted.agg(F.max("index").alias("top"))
-    every = top.select(F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("top", F.lit(-1)) + 1)).alias("index"))
+    every = range_past(acks, 0)
     rows = every.join(counted, "index", "left").select("index", F.coalesce("votes", F.lit(0)).alias("votes"))
     gaps = rows.agg(*[F.min(F.when(F.col("votes") < q, F.col("index"))).alias(f"g{q}") for q in quorums])
     out = gaps.select(F.explode(F.array(*[F.struct(F.lit(q).alias("quorum"), F.col(f"g{q}").alias("first_gap")) for q in quorums])).alias("r")).select("r.*")
@@ -99,11 +104,10 @@ def admit_in_order(arrivals: DataFrame, start: int = 0) -> DataFrame:
     appended: first arrival of an index in the contiguous run from start; duplicate: a later one; early: beyond the first gap, still buffered.
     """
     firsts = arrivals.where(F.col("index") >= start).groupBy("index").agg(F.min("arrival").alias("first"))
-    top = firsts.agg(F.max("index").alias("top"))
-    every = top.select(F.explode(F.sequence(F.lit(start).cast("long"), F.coalesce("top", F.lit(start - 1)) + 1)).alias("index"))
-    gap = every.join(firsts, "index", "left_anti").agg(F.min("index").alias("gap"))  # one row
-    rows = arrivals.join(firsts, "index", "left").crossJoin(F.broadcast(gap))
-    kind = F.when((F.col("index") < start) | (F.col("arrival") != F.col("first")), "duplicate").when(F.col("index") < F.col("gap"), "appended").otherwise("early")
+    every = range_past(arrivals, start)
+    gap = every.join(firsts, "index", "left_anti").agg(F.min("index")).first()[0]
+    rows = arrivals.join(firsts, "index", "left")
+    kind = F.when((F.col("index") < start) | (F.col("arrival") != F.col("first")), "duplicate").when(F.col("index") < gap, "appended").otherwise("early")
     return rows.select("arrival", "index", kind.alias("class"))
 
 
