@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.operators.ordered import prefix
@@ -77,8 +77,8 @@ def leaders(messages: DataFrame, nodes: int, quorum: int) -> DataFrame:
 
 def vote_fence(ballots: DataFrame) -> DataFrame:
     """ballots (voter, view, candidate, time) with accepted: a voter keeps, in a view, to the candidate of its first vote."""
-    own = Window.partitionBy("voter", "view").orderBy("time").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ballots.withColumn("accepted", F.col("candidate") == F.first("candidate").over(own))
+    first = ballots.groupBy("voter", "view").agg(F.min_by("candidate", "time").alias("first"))
+    return ballots.join(first, ["voter", "view"]).withColumn("accepted", F.col("candidate") == F.col("first")).drop("first")
 
 
 def view_fence(messages: DataFrame, order: str, view: str) -> DataFrame:

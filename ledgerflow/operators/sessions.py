@@ -16,10 +16,10 @@ BATCH_BYTES, BATCH_DELAY_MS = 65_536, 5
 def classify(requests: DataFrame) -> DataFrame:
     """requests (arrival, client_id, sequence_number) with class: new, duplicate or stale, and highest: the largest number before.
 
-    Stale and duplicate rows never raise the largest number, so it is a window maximum over all earlier rows of the client.
+    Stale and duplicate rows never raise the largest number, so it is a running maximum over all earlier rows of the client, taken in
+    buckets of arrivals: a client with a third of all requests is many tasks.
     """
-    before = Window.partitionBy("client_id").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
-    rows = requests.withColumn("highest", F.max("sequence_number").over(before))
+    rows = prefix(requests, "arrival", F.col("sequence_number"), "highest", "max", inclusive=False, by=("client_id",))
     return rows.withColumn("class", session_class(F.col("sequence_number"), F.col("highest")))
 
 
@@ -34,14 +34,14 @@ def admit(requests: DataFrame, is_primary: Column, inflight_change: Column, gap:
 def fair_order(requests: DataFrame) -> DataFrame:
     """(arrival, client_id, round, slot): one request of each client per round, clients by first arrival, slots from 0.
 
-    A round's rows are ranked in buckets of first arrivals, and rounds are added up by their counts: no task sees all rows.
+    Places in a client's queue, in a round, and of the rounds are all counted in buckets: no task sees all rows of a client or a round.
     """
-    own = Window.partitionBy("client_id").orderBy("arrival")
-    rows = requests.select("arrival", "client_id", F.row_number().over(own).alias("round"), F.first("arrival").over(own).alias("first_arrival"))
-    counts = rows.groupBy("round").agg(F.count("*").alias("n"))  # as many rows as the longest queue
-    starts = counts.select("round", F.coalesce(F.sum("n").over(Window.orderBy("round").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    rows = prefix(requests.select("arrival", "client_id"), "arrival", F.lit(1), "earlier", inclusive=False, by=("client_id",))
+    firsts = requests.groupBy("client_id").agg(F.min("arrival").alias("first_arrival"))
+    rows = rows.join(firsts, "client_id").select("arrival", "client_id", (F.col("earlier") + 1).cast("int").alias("round"), "first_arrival")
+    starts = prefix(rows.groupBy("round").agg(F.count("*").alias("n")), "round", F.col("n"), "start", inclusive=False)
     rows = prefix(rows, "first_arrival", F.lit(1), "ahead", inclusive=False, by=("round",))
-    return rows.join(starts, "round").select("arrival", "client_id", "round", (F.col("start") + F.col("ahead")).alias("slot"))
+    return rows.join(starts.select("round", "start"), "round").select("arrival", "client_id", "round", (F.col("start") + F.col("ahead")).cast("long").alias("slot"))
 
 
 def batches(requests: DataFrame, key: str, time: str, size: str, order: str, max_bytes: int = BATCH_BYTES, max_delay: int = BATCH_DELAY_MS) -> DataFrame:
