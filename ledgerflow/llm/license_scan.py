@@ -6,6 +6,7 @@ DataFrame functions only.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -157,7 +158,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are never dropped. Null and empty texts have no words, null places, empty labels and score 0. Only detections' positions are
     shuffled, by row: a text with very many of them costs sorting, not comparing each with each.
     """
-    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    text = F.translate(F.coalesce(F.col(text_col), F.lit("")), ascii_uppercase, ascii_lowercase)
     plain = F.trim(F.regexp_replace(text, SEPARATORS, "  "))
     spaced = F.when(plain == "", "").otherwise(F.concat(F.lit(" "), plain, F.lit(" ")))
     table = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.score).alias("score"), F.lit(f" {r.keyword} ").alias("keyword"), F.lit(r.regex).alias("regex"), F.lit(r.base).alias("base")) for i, r in enumerate(rules())])
