@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerflow.llm.common import Scratch, read_table
 from ledgerflow.llm.decontaminate import drop_contaminated
+from ledgerflow.llm.near_copies import near_copies
 from ledgerflow.llm.packing import pack
 from ledgerflow.llm.secret_scan import redact_secrets
-from ledgerflow.llm.simhash import near_duplicates
 from ledgerflow.llm.toxicity import drop_toxic
 
 
@@ -18,8 +18,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that SimHash links the smallest doc_id stays; rows without an id stay."""
-    copies = near_duplicates(docs).where("component_id < doc_id").select("doc_id").distinct()
+    """Of each group that 5-word Jaccard similarities of 0.8 or more link the smallest doc_id stays; rows without an id stay."""
+    copies = near_copies(docs).where("component_id < doc_id").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
 
 

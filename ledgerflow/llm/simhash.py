@@ -21,18 +21,26 @@ FRONTIER = 1 << 17
 LEAVES = 64
 
 
-def fingerprint(text: bytes, shingle: int = 4) -> int:
-    """The text's fingerprint: a bit is set if it is set in over half of the shingles' XXH64 values (seed 42)."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 values (seed 42) of the text's shingles in order; a text of fewer words is one shingle, one without words has none."""
     words = text.lower().split()  # on bytes: A-Z only, and white space is \x20 and \x09-\x0D
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.fromiter(map(len, words), np.int64, len(words)).cumsum() + np.arange(len(words))
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle + 1)
     spans = zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, n)
+
+
+def fingerprint(text: bytes, shingle: int = 4) -> int:
+    """The text's fingerprint: a bit is set if it is set in over half of the shingles' hashes."""
+    hashes = shingle_hashes(text, shingle)
+    n = len(hashes)
+    if not n:
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 14):
         ones += np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
