@@ -20,11 +20,15 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-#: Further contexts whose values are judged by their cost: names before a value, credentials in an address, a bearer header.
-CONTEXT = re.compile(
-    r"""(?ai:(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credential|auth|(?:api|access|private|client|secret|encryption|signing)[_-]?key)s?)["']?\x20*(?::=|=>|[:=])\x20*["']?([^\x00-\x20"'<>,;]{6,})"""
-    r"""|://[^\x00-\x20"'/:@]{1,64}:([^\x00-\x20"'/:@]{6,})@"""
-    r"""|(?ai:bearer)\x20+([A-Za-z0-9._~+/=-]{16,})"""
+#: Further contexts whose values are judged by their cost, each on its own over the whole text: names before a value (a scheme word before
+#: it is passed over), credentials in an address, a bearer header.
+CONTEXTS = (
+    re.compile(
+        r"""(?ai:(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credential|auth|(?:api|access|private|client|secret|encryption|signing)[_-]?key)s?)["']?\x20*(?::=|=>|[:=])\x20*["']?"""
+        r"""(?:(?ai:bearer|basic)\x20+["']?)?([^\x00-\x20"'<>,;]{6,})"""
+    ),
+    re.compile(r"""://[^\x00-\x20"'/:@]+:([^\x00-\x20"'/:@]{6,})@"""),
+    re.compile(r"""(?ai:bearer)\x20+([A-Za-z0-9._~+/=-]{16,})"""),
 )
 #: What stands for a secret in a redacted text.
 MASK = "[REDACTED]"
@@ -129,12 +133,20 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], float]:
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= 16]
-    most = 0.0
-    for m in CONTEXT.finditer(text):
-        cost = guess_cost(m[m.lastindex])
-        most = max(most, cost)
-        if cost >= GUESSES:
-            found.append((m.start(m.lastindex), 3, m.end(m.lastindex)))
+    most, values = 0.0, set()
+    for context in CONTEXTS:
+        at = 0
+        while m := context.search(text, at):
+            cost = guess_cost(m[1])
+            most = max(most, cost)
+            if cost >= GUESSES:
+                values.add(m.span(1))
+            at = m.end() if cost >= GUESSES else m.start(1)  # a cheap value may itself be a name before one
+    end = 0
+    for a, e in sorted(values, key=lambda v: (v[0], -v[1])):
+        if e > end:  # else within one listed before
+            found.append((a, 3, e))
+            end = e
     return sorted(found), most
 
 
