@@ -46,8 +46,6 @@ service account private public company office test123 pass temp sample dummy pla
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("@4830!1$57", "aabeoiisst")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0?[1-9]|1[0-2])(?:[-/._]?(?:0?[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)\d\d", re.ASCII)
-#: Values are judged whole, up to this length; beyond, each stretch of it is judged and the costs add up, to ENOUGH at most.
-STRETCH, ENOUGH = 64, 300.0
 
 
 @cache
@@ -107,14 +105,8 @@ def guess_cost(value: str) -> float:
 
     Segments are common words (with case and look-alike variants), dates, repeats, keyboard walks, and brute-force spans;
     a segmentation costs the product of its parts' guesses, times two for each part after the first.
+    Of a repeat or a walk only the longest span counts, so the work is linear in the value.
     """
-    if len(value) > STRETCH:
-        total = 0.0
-        for i in range(0, len(value), STRETCH):
-            total += guess_cost(value[i : i + STRETCH])
-            if total >= ENOUGH:
-                return ENOUGH
-        return total
     n, each = len(value), math.log10(_alphabet(value)) if value else 0.0
     best = [0.0] + [math.inf] * n
     brute = [0.0] + [math.inf] * n  # with a brute-force span at the end
