@@ -6,6 +6,7 @@ A null text counts as the empty text.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python step holds as words at one time; one longer text is held alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,16 +34,31 @@ def fold_of(column: str, modulus: int):
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; only where a session has none (tests), a folder of its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder of spark.checkpoint.dir. Where it is unset, a local session (as in tests) gets a folder of its own, a cluster an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("ledgerflow.scratch.dir", None)
     if not root:
-        root = spark.conf.get("ledgerflow.scratch.dir", None)
-        if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="ledgerflow-")
-            spark.conf.set("ledgerflow.scratch.dir", root)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="ledgerflow-")
+        spark.conf.set("ledgerflow.scratch.dir", root)
     return root.rstrip("/")
 
 
+def trim() -> None:
+    """Hands memory that a task has freed back to the system, as Spark keeps Python workers for later tasks of any operator."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if give_back:
+        give_back(0)
+
+
+def local_frame(spark: SparkSession, columns: dict[str, list], schema: str) -> DataFrame:
+    """A small table from the driver's columns, by Arrow: no Python worker is started for it."""
+    fields = [part.split() for part in schema.split(", ")]
+    kinds = {"long": pa.int64(), "double": pa.float64(), "int": pa.int32(), "string": pa.string()}
+    return spark.createDataFrame(pa.table({n: pa.array(columns[n], kinds[t]) for n, t in fields}), schema)
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive any executor."""
 
@@ -79,7 +95,8 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Itera
 def keep_rows(docs: DataFrame, keeps: Callable[[], Callable[[list[bytes]], list[bool]]], text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose text is kept; nothing is shuffled.
 
-    keeps is called once in each task and gives the function from texts (null: empty) to decisions.
+    keeps is called once in each task and gives the function from texts (null: empty) to decisions. Rows that repeat, or have no id, are
+    decided one by one.
     """
     place = docs.columns.index(text_col)
 
@@ -94,5 +111,6 @@ def keep_rows(docs: DataFrame, keeps: Callable[[], Callable[[list[bytes]], list[
                     start, size = i, 0
                 size += len(text)
             yield batch.filter(pa.array(mask + decide(texts[start:]), pa.bool_()))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)

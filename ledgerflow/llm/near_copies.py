@@ -1,4 +1,4 @@
-"""Near copies by shingles: MinHash bands deal out candidates, exact Jaccard similarities confirm them."""
+"""Near copies: SimHash fingerprints joined by tries deal out candidates, exact Jaccard similarities confirm them."""
 
 from __future__ import annotations
 
@@ -7,38 +7,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import Scratch, slices, texts_of
+from ledgerflow.llm.common import Scratch, slices, texts_of, trim
 from ledgerflow.llm.components import connected_components
-from ledgerflow.llm.simhash import shingle_hashes
+from ledgerflow.llm.simhash import fingerprint_series, links, shingle_hashes
 
-#: Words of a shingle.
-SHINGLE = 5
-#: A pair at a similarity of 0.8 agrees in all ROWS minima of one of the BANDS with probability 1 - (1 - 0.8^ROWS)^BANDS = 0.9994.
-BANDS, ROWS = 40, 8
+#: Words of a shingle; Jaccard similarity from which texts are copies, as a fraction.
+SHINGLE, SIMILARITY = 5, (4, 5)
+#: Fingerprints of a text, blocks of each, and bits in which candidates differ at most: similarity 0.8 as a share of the 64 bits.
+VIEWS, BLOCKS, BUDGET = 14, 4, 13
 #: Texts and bytes of text that one task compares; larger groups are split into pairs of parts.
 GROUP_LIMIT, GROUP_BYTES = 1_000, 4 << 20
-#: Shingles whose minima are taken at one time.
-AT_ONCE = 1 << 10
 
-_TURNS = np.random.default_rng(5).integers(1 << 62, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """A signed 64-bit key for each band; none for a text without words."""
-    if not len(hashes):
-        return []
-    least = np.full(len(_TURNS), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), AT_ONCE):
-        np.minimum(least, (hashes[at : at + AT_ONCE, None] * _TURNS).min(0), out=least)
-    rows = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(rows)], np.uint64).view(np.int64).tolist()
+_TURNS = np.random.default_rng(5).integers(1, 1 << 63, VIEWS, dtype=np.uint64)
 
 
 def confirmed(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Edges that chain up all nodes whose sets have a Jaccard similarity of 0.8 or more, by comparing all pairs that share a member."""
+    """Edges that chain up all nodes whose sets have a Jaccard similarity of SIMILARITY or more, by comparing all pairs that share a member."""
+    over, under = SIMILARITY
     sizes = np.array([len(s) for s in sets], np.int64)
     _, member = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -59,7 +47,7 @@ def confirmed(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]
         if not len(own):
             continue
         both = np.bincount(np.concatenate([listed[starts[x] : starts[x + 1]] for x in own.tolist()]), minlength=len(sets))
-        hits = np.flatnonzero(9 * both >= 4 * (sizes[i] + sizes))  # both / (a + b - both) >= 4 / 5
+        hits = np.flatnonzero((under + over) * both >= over * (sizes[i] + sizes))  # both / (a + b - both) >= over / under
         for j in hits[hits > i].tolist():
             a, b = top(i), top(j)
             if a != b:
@@ -68,42 +56,63 @@ def confirmed(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]
     return edges
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_limit: int = GROUP_LIMIT, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """(doc_id, component_id: smallest doc_id reachable over pairs with a 5-word Jaccard similarity of 0.8 or more), one row per row with an id.
+def near_copies(docs: DataFrame, row_col: str = "row", text_col: str = "text", group_limit: int = GROUP_LIMIT, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """(row, component: smallest row reachable over pairs with a 5-word Jaccard similarity of 0.8 or more), one per row of docs.
 
-    Texts with one list of words are one node, its smallest doc_id, before any join. Nodes that share a band's key are candidates; the
-    components of candidates are compared pair by pair, on shingle sets (as 64-bit hashes) and not on the bands, so that no link is
-    unconfirmed. A component above the limits is dealt to pairs of hashed parts: each pair of its texts still meets in a task.
-    A text under five words is one shingle; texts without words are copies of each other.
+    row_col tells rows apart: a long, never null, no two alike. Texts with one list of words are one node, their smallest row, before any join.
+    Candidates are nodes that agree in a block of one of VIEWS fingerprints of their 5-word shingles and differ in at most BUDGET
+    bits of it, found by the trie join that links() runs. The components of candidates are compared pair by pair, on
+    shingle sets (as 64-bit hashes) and not on fingerprints, so that no link is unconfirmed. A component above the limits is
+    dealt to pairs of hashed parts: each pair of its texts still meets in a task. Null and empty texts are without words and copies of each
+    other; a text under five words is one shingle. An empty table gives none.
     """
-    spark, texts = docs.sparkSession, texts_of(docs, id_col, text_col).where("doc_id is not null")
+    spark = docs.sparkSession
+    texts = texts_of(docs, row_col, text_col).withColumnRenamed("doc_id", "row")
     scratch = Scratch(spark, "near-copies")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, some in slices(batches):
             digests = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in some]
-            bands = [band_keys(shingle_hashes(t, SHINGLE)) for t in some]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "digest", "bands"])
-
-    marked = scratch.save(texts.mapInArrow(mark, "doc_id long, digest binary, bands array<long>"))
-    nodes = marked.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    dealt = marked.join(nodes, "digest").where("doc_id = node").select("node", F.explode("bands").alias("key"))
-    low = F.first("node").over(Window.partitionBy("key").orderBy("node"))
-    shared = dealt.select(F.col("node").alias("src"), low.alias("dst")).where("src <> dst")
+            views = np.array([fingerprint_series(t, SHINGLE, _TURNS) for t in some]).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, views.size + 1, VIEWS, dtype=np.int32)), pa.array(views.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), lists], names=["row", "digest", "fp"])
+        trim()
+
+    marked = scratch.save(texts.mapInArrow(mark, "row long, digest binary, fp array<long>"))
+    nodes = scratch.save(marked.groupBy("digest").agg(F.min(F.struct("row", "fp")).alias("n")).select("digest", F.col("n.row").alias("node"), F.col("n.fp").alias("fp")))
+    shared = scratch.save(links(nodes.select("node", "fp"), BUDGET, blocks=BLOCKS))
     groups = scratch.save(connected_components(spark, shared, scratch))
-    own = scratch.save(texts.join(groups.withColumnRenamed("node", "doc_id"), "doc_id").distinct())
+    scratch.drop(shared)
+    own = scratch.save(texts.join(groups.withColumnRenamed("node", "row"), "row"))
     parts = F.ceil(2 * F.greatest(F.count("*") / F.lit(group_limit), F.sum(F.octet_length("text")) / F.lit(group_bytes))).alias("parts")
     large = own.groupBy("root").agg(parts).where("parts > 2")
     tags = F.expr("transform(filter(sequence(0L, parts - 1), x -> x <> part), x -> least(x, part) * parts + greatest(x, part))")
-    member = own.join(large, "root", "left").withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.col("parts")))
-    member = member.select("doc_id", "text", "root", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(tags)).alias("tag"))
+    member = own.join(large, "root", "left").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")))
+    member = member.select("row", "text", "root", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(tags)).alias("tag"))
 
     def confirm(table: pa.Table) -> pa.Table:
         sets = [np.unique(shingle_hashes(t, SHINGLE)) for t in table.column("text").cast(pa.binary()).to_pylist()]
-        edges = confirmed(table.column("doc_id").to_numpy(), sets)
+        edges = confirmed(table.column("row").to_numpy(), sets)
         return pa.table({"src": pa.array([a for a, _ in edges], pa.int64()), "dst": pa.array([b for _, b in edges], pa.int64())})
 
     edges = scratch.save(member.groupBy("root", "tag").applyInArrow(confirm, "src long, dst long"))
     roots = connected_components(spark, edges, scratch)
     scratch.drop(own)
-    return marked.select("doc_id", "digest").join(nodes, "digest").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("component_id"))
+    scratch.drop(edges)
+    found = nodes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component"))
+    return marked.select("row", "digest").join(found, "digest").select("row", "component")
+
+
+def drop_near_copies(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, without those that are near copies of an earlier row, as near_copies() links them.
+
+    Rows are numbered as they are written, so whatever ids they have, null and repeated ones included, of each group exactly one
+    row stays, the first, and a text without copies always does.
+    """
+    scratch = Scratch(docs.sparkSession, "near-dedup")
+    row = "__row"  # no column of docs: rows are told apart by their number alone
+    while row in docs.columns:
+        row += "_"
+    numbered = scratch.save(docs.withColumn(row, F.monotonically_increasing_id()))
+    copies = near_copies(numbered, row, text_col).where("component < row").select(F.col("row").alias(row))
+    return numbered.join(copies, row, "left_anti").select(docs.columns)

@@ -10,11 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import Scratch, slices, texts_of
+from ledgerflow.llm.common import Scratch, slices, texts_of, trim
 from ledgerflow.llm.components import connected_components
 
 #: Distinct fingerprints of one block value that one task joins; larger groups are split into pairs of parts.
 GROUP_LIMIT = 20_000
+#: Words of small groups that a task joins at one time.
+TOGETHER = 100_000
 #: Node pairs that a step of the traversal handles at one time.
 FRONTIER = 1 << 17
 #: Leaf pairs below two nodes up to which they are compared at once.
@@ -35,16 +37,31 @@ def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, n)
 
 
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """For each column of 64-bit hashes the word of the bits that are set in over half of the rows."""
+    n, width = hashes.shape
+    ones = np.zeros(64 * width, np.int64)
+    for at in range(0, n, 255):  # so many rows add up within a byte
+        part = np.ascontiguousarray(hashes[at : at + 255]).view(np.uint8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)
+
+
 def fingerprint(text: bytes, shingle: int = 4) -> int:
     """The text's fingerprint: a bit is set if it is set in over half of the shingles' hashes."""
     hashes = shingle_hashes(text, shingle)
-    n = len(hashes)
-    if not n:
-        return 0
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 14):
-        ones += np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
+    return int(_majority(hashes[:, None])[0]) if len(hashes) else 0
+
+
+def fingerprint_series(text: bytes, shingle: int, turns: np.ndarray) -> np.ndarray:
+    """One fingerprint for each of turns, from the shingles' hashes scrambled by it: independent views of one text. All zero without words."""
+    hashes = shingle_hashes(text, shingle)
+    out = np.zeros(len(turns), np.uint64)
+    if len(hashes):
+        x = (hashes[:, None] ^ turns) * np.uint64(0xFF51AFD7ED558CCD)  # fixed values: multipliers of a public 64-bit finalizer
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+        out = _majority(x ^ (x >> np.uint64(33)))
+    return out
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -54,6 +71,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for ids, texts in slices(batches):
             fp = np.array([fingerprint(t, shingle) for t in texts], np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+        trim()
 
     return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
 
@@ -143,50 +161,79 @@ def trie_components(fp: np.ndarray, starts: np.ndarray, budget: int) -> np.ndarr
     return label
 
 
-def _blocks(budget: int) -> list[tuple[int, int]]:
-    """(start, width) of budget + 1 blocks of the 64 bits from the top: words within budget agree in one of them."""
-    cuts = [round(i * 64 / (budget + 1)) for i in range(budget + 2)]
+def _cuts(blocks: int) -> list[tuple[int, int]]:
+    """(start, width) of so many blocks of the 64 bits, from the top."""
+    cuts = [round(i * 64 / blocks) for i in range(blocks + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def links(words: DataFrame, budget: int = 4, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """(src, dst) between nodes of words (fp long, node long; fp distinct) that chain up all within budget bits.
-
-    Words within budget agree in one of budget + 1 blocks, so each is dealt out once by each block's value and the tries
-    of one value are joined in one task. A value with over group_limit words is dealt to pairs of hashed parts:
-    each pair of its words still meets in a task, and no task holds over about group_limit words of it. At most one
-    edge comes out per word and task.
+def _joined(fp: np.ndarray, node: np.ndarray, start: int, width: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """(src, dst) that chain up the nodes whose words agree in the block and differ in at most budget bits."""
+    shift = np.uint64(start)
+    word = (fp << shift) | (fp >> np.uint64(64 - start)) if start else fp
+    by = np.lexsort((node, word))
+    word, node = word[by], node[by]
+    first = np.concatenate(([True], word[1:] != word[:-1]))
+    again = np.flatnonzero(~first)  # nodes with one word
+    distinct, own = word[first], node[first]
+    src, dst = node[again], own[first.cumsum()[again] - 1]
+    top = distinct >> np.uint64(64 - width)
+    label = trie_components(distinct, np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1]))), budget)
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return np.concatenate([src, own[moved]]), np.concatenate([dst, own[label[moved]]])
+
+
+def links(words: DataFrame, budget: int = 4, group_limit: int = GROUP_LIMIT, blocks: int | None = None) -> DataFrame:
+    """(src, dst) between nodes of words (fp array<long>, node long) that chain up all pairs found within budget bits at one place of fp.
+
+    The words of a place are cut into blocks, budget + 1 if not said otherwise: then words within budget agree in one of
+    them, and nothing is missed; with fewer blocks only pairs that agree in one are found. Each word is dealt out once by each
+    block's value, and the tries of one value are joined in one task. A value with over group_limit words is dealt to
+    pairs of hashed parts: each pair of its words still meets in a task, and no task holds over about group_limit words of it.
+    Rows come to a task sorted by value and are joined group by group, TOGETHER or the largest group at one time. At
+    most one edge comes out per word and task.
     """
-    blocks = _blocks(budget)
-    value = [F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(F.shiftleft(F.col("fp"), a), 64 - w).alias("v")) for k, (a, w) in enumerate(blocks)]
-    dealt = words.select("fp", "node", F.explode(F.array(*value)).alias("b")).select("fp", "node", "b.k", "b.v")
+    cuts = _cuts(blocks or budget + 1)
+    value = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(F.shiftleft(F.col("fp"), a), 64 - w).alias("v")) for k, (a, w) in enumerate(cuts)])
+    dealt = words.select("node", F.posexplode("fp").alias("place", "fp")).select("node", "place", "fp", F.explode(value).alias("b")).select("node", "fp", (F.col("place") * len(cuts) + F.col("b.k")).alias("k"), "b.v")
     parts = F.ceil(F.col("count") * 2 / group_limit).cast("long")
     large = dealt.groupBy("k", "v").count().where(F.col("count") > group_limit).select("k", "v", parts.alias("parts"))
-    own = F.pmod(F.xxhash64("fp"), F.col("parts"))
+    own = F.pmod(F.xxhash64("fp", "node"), F.col("parts"))
     tags = F.expr("transform(filter(sequence(0L, coalesce(parts, 1L) - 1), x -> x <> own), x -> least(x, own) * parts + greatest(x, own))")
     dealt = dealt.join(large, ["k", "v"], "left").withColumn("own", own).select("fp", "node", "k", "v", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(tags)).alias("tag"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)
-        if not sum(b.num_rows for b in got):
-            return
-        fp, node, k, v, tag = (c.to_numpy() for c in pa.Table.from_batches(got).columns)
-        fp = fp.view(np.uint64)
-        order = np.lexsort((v, tag, k))  # a value of a large group shares its tag with others only by chance; the trie keeps them apart
-        edges = np.flatnonzero(np.diff(k[order]) | np.diff(tag[order])) + 1
-        for part in np.split(order, edges):
-            shift = np.uint64(blocks[k[part[0]]][0])
-            word = fp[part]
-            word = (word << shift) | (word >> np.uint64(64 - int(shift))) if shift else word
-            by = np.argsort(word)
-            word, own_node = word[by], node[part][by]
-            top = word >> np.uint64(64 - blocks[k[part[0]]][1])
-            label = trie_components(word, np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1]))), budget)
-            moved = np.flatnonzero(label != np.arange(len(label)))
-            if len(moved):
-                yield pa.RecordBatch.from_arrays([pa.array(own_node[moved]), pa.array(own_node[label[moved]])], names=["src", "dst"])
-
-    return dealt.repartition("k", "v", "tag").mapInArrow(run, "src long, dst long")
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush(columns: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+            fp, node, k, _, tag = columns
+            edges = np.flatnonzero((k[1:] != k[:-1]) | (tag[1:] != tag[:-1])) + 1
+            for a, e in zip([0, *edges.tolist()], [*edges.tolist(), len(k)], strict=True):
+                if e - a > 1:
+                    src, dst = _joined(fp[a:e], node[a:e], *cuts[int(k[a]) % len(cuts)], budget)
+                    if len(src):
+                        yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
+
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fp, node, k, v, tag = (c.to_numpy() for c in batch.columns)
+            held.append((fp.view(np.uint64), node, k, v, tag))
+            size += len(fp)
+            if size >= TOGETHER:
+                whole = tuple(np.concatenate(c) for c in zip(*held, strict=True))
+                change = np.flatnonzero((whole[2][1:] != whole[2][:-1]) | (whole[3][1:] != whole[3][:-1]) | (whole[4][1:] != whole[4][:-1]))
+                cut = int(change[-1]) + 1 if len(change) else 0  # the last group may go on
+                if cut:
+                    yield from flush(tuple(c[:cut] for c in whole))
+                held, size = [tuple(c[cut:].copy() for c in whole)], size - cut
+        if size:
+            yield from flush(tuple(np.concatenate(c) for c in zip(*held, strict=True)))
+        held.clear()
+        trim()
+
+    return dealt.repartition("k", "v", "tag").sortWithinPartitions("k", "tag", "v").mapInArrow(run, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, budget: int = 4, group_limit: int = GROUP_LIMIT) -> DataFrame:
@@ -200,7 +247,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(spark, "simhash")
     marked = scratch.save(fingerprints(docs, id_col, text_col, shingle))
     words = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    edges = scratch.save(links(words.where("node is not null"), budget, group_limit))
+    edges = scratch.save(links(words.where("node is not null").select("node", F.array("fp").alias("fp")), budget, group_limit))
     roots = connected_components(spark, edges, scratch)
+    scratch.drop(edges)
     words = words.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return marked.join(words, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -30,23 +30,38 @@ def iter_up(up, k):
     yield k
 
 
-@pytest.mark.parametrize("limit", [1_000, 20])
-def test_links_at_a_similarity_of_0_8(spark, data, limit):
-    """Copies with 1-3 % of their words replaced: most differ in more than the 4 bits of op4."""
-    import corpus_pipeline
-
+def planted():
     rng = random.Random(12)
     speak = lambda n: [rng.choice("abcdefgh") + str(rng.randrange(400)) for _ in range(n)]
-    every = [None, "", "one two", "ONE  two", "one two three four five six"]
+    every = [None, "", "one two", "ONE  two", "one two three four five six", "one two"]
     for _ in range(40):
         text = speak(rng.randint(100, 300))
         every.append(" ".join(text))
         for share in (0.005, 0.01, 0.02, 0.03):
             every.append(" ".join("new" + str(rng.randrange(999)) if rng.random() < share else w for w in text))
-    docs = spark.createDataFrame([*((i, t, 1) for i, t in enumerate(every)), (None, "one two", 1)], "doc_id long, text string, n_chars int").repartition(5)
+    return every
+
+
+@pytest.mark.parametrize("limit", [1_000, 20])
+def test_links_at_a_similarity_of_0_8(spark, limit):
+    """Copies with 1-3 % of their words replaced: most differ in more than the 4 bits of op4."""
+    every = planted()
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(every)], "row long, text string, fp int").repartition(5)
+    got = {r.row: r.component for r in near_copies.near_copies(docs, group_limit=limit).collect()}
+    assert got == dict(enumerate(roots_of(every)))
+
+
+def test_stage_decides_by_row(spark, data):
+    """Ids repeat or are null, columns clash: of each group one row stays, and a text without copies always does."""
+    import corpus_pipeline
+
+    every = planted()
+    ids = [None if i % 7 == 0 else i % 11 for i in range(len(every))]
+    docs = spark.createDataFrame([(d, t, i, "x", i) for i, (d, t) in enumerate(zip(ids, every, strict=True))], "doc_id long, text string, __row long, digest string, place int").repartition(5)
+    kept = corpus_pipeline.near_dedup(spark, docs, data)
     want = roots_of(every)
-    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs, group_limit=limit).collect()}
-    assert got == dict(enumerate(want))
-    if limit == 1_000:
-        kept = corpus_pipeline.near_dedup(spark, docs, data)
-        assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([None, *(i for i, r in enumerate(want) if r == i)], key=repr) and kept.columns == docs.columns
+    assert kept.columns == docs.columns
+    assert sorted(want[r.place] for r in kept.collect()) == sorted(set(want))
+    few = spark.createDataFrame([(3, "a b c d e f"), (5, "g h i j k l"), (5, "a b c d e f"), (5, "a b c d e f")], "doc_id long, text string")
+    assert sorted(r.text for r in corpus_pipeline.near_dedup(spark, few, data).collect()) == ["a b c d e f", "g h i j k l"]
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), data).collect() == []
