@@ -6,6 +6,7 @@ import hashlib
 from dataclasses import dataclass
 from typing import Any, Protocol
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ class Application(Protocol):
 
     def restore(self, text: str) -> Any: ...
 
+    def query(self, state: Any, request: str) -> str: ...
+
 
 def seed(prev_hash: bytes | None, index: int) -> bytes:
     """32 bytes from the hash before an entry and its index."""
@@ -81,3 +84,20 @@ def states(results: DataFrame, key: str) -> DataFrame:
     """(key, index, state): a snapshot of every key after its last applied event."""
     done = results.where("status = 'Applied'")
     return done.groupBy(key).agg(F.max("index").alias("index"), F.max_by("state", "index").alias("state"))
+
+
+def ask(app: Application, held: DataFrame, requests: DataFrame, key: str) -> DataFrame:
+    """(key, request, answer) of requests (key, request) to the states held (key, state); keys without one are asked about the genesis state.
+
+    Answers come from snapshots and change nothing.
+    """
+    rows = requests.select(key, "request").join(held.select(key, "state"), key, "left")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def run(batches):
+        for b in batches:
+            states_of, asked = b.column(2).to_pylist(), b.column(1).to_pylist()
+            answers = [app.query(app.genesis() if s is None else app.restore(s), r) for s, r in zip(states_of, asked, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(answers, pa.string())], names=[key, "request", "answer"])
+
+    return rows.mapInArrow(run, f"{key} {kinds[key]}, request string, answer string")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerflow.operators.ordered import prefix
+
 
 def stats(history: DataFrame) -> DataFrame:
     """One row: operations by result, and the sums of successful deposits and withdrawals, duplicates included."""
@@ -26,6 +28,13 @@ def conserved(history: DataFrame, final_total: int, initial: int = 0) -> bool:
     return initial + row["deposits"] - row["withdrawals"] == final_total
 
 
+def conservation(history: DataFrame, accounts: DataFrame, initial: int = 0) -> DataFrame:
+    """One row (deposits, withdrawals, final_total, conserved): what went in and out against the sum of balances in the end."""
+    total = accounts.agg(F.coalesce(F.sum("balance"), F.lit(0)).alias("final_total"))
+    rows = stats(history).select("deposits", "withdrawals").crossJoin(total)  # one row each
+    return rows.withColumn("conserved", F.lit(initial) + F.col("deposits") - F.col("withdrawals") == F.col("final_total"))
+
+
 def lookup(history: DataFrame) -> DataFrame:
     """The last record of every (client_id, sequence_number)."""
     return history.groupBy("client_id", "sequence_number").agg(F.max_by(F.struct("idx", "op", "result"), "idx").alias("r")).select("client_id", "sequence_number", "r.*")
@@ -33,23 +42,22 @@ def lookup(history: DataFrame) -> DataFrame:
 
 def duplicate_executions(history: DataFrame) -> DataFrame:
     """(client_id, sequence_number, first_idx, idx): successes of a request after its first success, each against the first."""
-    key = Window.partitionBy("client_id", "sequence_number").orderBy("idx")
-    rows = history.where("result = 'Success'").select("client_id", "sequence_number", "idx", F.first("idx").over(key).alias("first_idx"))
-    return rows.where("idx > first_idx")
+    rows = history.where("result = 'Success'").select("client_id", "sequence_number", "idx")
+    firsts = rows.groupBy("client_id", "sequence_number").agg(F.min("idx").alias("first_idx"))
+    return rows.join(firsts, ["client_id", "sequence_number"]).where("idx > first_idx").select("client_id", "sequence_number", "idx", "first_idx")
 
 
 def time_travel(history: DataFrame, user: str = "user_id") -> DataFrame:
     """(user, previous_idx, idx, previous_balance, balance): observations lower than the one before, with no withdrawal of the user in between.
 
-    history (user, idx, op, result, balance) holds successful withdrawals and observed balances. The withdrawals up to either
-    end are counted by one window, so no pair of an observation with an entry is ever made.
+    history (user, idx, op, result, balance) holds successful withdrawals and observed balances, idx unique for a user. Withdrawals
+    up to each entry, and the observation before it, are running sums and maxima by buckets, so a user's entries are never one
+    task's, and no pair of an observation with an entry is made but with the one before.
     """
-    own = Window.partitionBy(user).orderBy("idx")
-    taken = F.count_if((F.col("op") == "withdraw") & (F.col("result") == "Success"))
-    rows = history.withColumn("taken", taken.over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("taken_before", taken.over(own.rowsBetween(Window.unboundedPreceding, -1)))
+    taken = F.when((F.col("op") == "withdraw") & (F.col("result") == "Success"), 1).otherwise(0)
+    rows = prefix(history.select(user, "idx", "balance", taken.alias("one")), "idx", F.col("one"), "taken", by=(user,))
     seen = rows.where(F.col("balance").isNotNull())
-    last = lambda c: F.lag(c).over(own)
-    seen = seen.select(user, "idx", "balance", "taken", last("idx").alias("previous_idx"), last("balance").alias("previous_balance"), last("taken_before").alias("taken_then"))
+    seen = prefix(seen, "idx", F.col("idx"), "previous_idx", "max", inclusive=False, by=(user,))
+    before = seen.select(user, F.col("idx").alias("previous_idx"), F.col("balance").alias("previous_balance"), (F.col("taken") - F.col("one")).alias("taken_then"))
     odd = (F.col("balance") < F.col("previous_balance")) & (F.col("taken") - F.col("taken_then") == 0)
-    return seen.where(odd).select(user, "previous_idx", "idx", "previous_balance", "balance")
+    return seen.join(before, [user, "previous_idx"]).where(odd).select(user, "previous_idx", "idx", "previous_balance", "balance")

@@ -6,31 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.operators.ordered import carried_fold
-from ledgerflow.schema import AMOUNT_MAX
+from ledgerflow.schema import AMOUNT, AMOUNT_MAX
 
 
 def outcomes(operations: DataFrame, opening: DataFrame | None = None, user: str = "user_id") -> DataFrame:
     """(user, index, kind, amount, accepted, balance) for every operation (user, index, kind deposit|withdraw, amount >= 0).
 
-    balance is the one after the operation. opening (user, balance) holds balances to begin from, such as a snapshot's; users
+    balance is the one after the operation, decimal(20,0) whatever integer type amounts have. opening (user, balance) holds balances to begin from, such as a snapshot's; users
     without one begin at 0. Deposits saturate at the largest unsigned 64-bit number. Rejection makes the fold non-associative, so a
     user's operations run in order, and users in parallel.
     """
     columns = [user, "index", "kind", "amount"]
     rows = operations.select(*columns)
+    if opening is not None and rows.schema["amount"].dataType != AMOUNT:
+        rows = rows.withColumn("amount", F.col("amount").cast(AMOUNT))
     if opening is not None:
-        rows = rows.unionByName(opening.select(user, F.lit(-1).cast("long").alias("index"), F.lit("opening").alias("kind"), F.col("balance").cast(rows.schema["amount"].dataType).alias("amount")))
+        rows = rows.unionByName(opening.select(user, F.lit(-1).cast("long").alias("index"), F.lit("opening").alias("kind"), F.col("balance").cast(AMOUNT).alias("amount")))
 
     def step(balance, who, index, kind, amount):
-        if kind == "withdraw":
-            if amount > balance:
-                return balance, (False, balance)
-            return balance - amount, (True, balance - amount)
-        balance = min(balance + amount, AMOUNT_MAX)
-        return balance, (True, balance)
+        accepted = kind != "withdraw" or amount <= balance
+        if accepted:
+            balance = balance - int(amount) if kind == "withdraw" else min(balance + int(amount), AMOUNT_MAX)
+        return balance, (accepted, balance)
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in columns) + f", accepted boolean, balance {kinds['amount']}"
+    schema = ", ".join(f"{c} {kinds[c]}" for c in columns) + f", accepted boolean, balance {AMOUNT.simpleString()}"
     return carried_fold(rows, user, ["index"], columns, step, lambda: 0, schema)
 
 

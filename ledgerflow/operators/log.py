@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.functions import scalar
@@ -70,12 +70,12 @@ def project_event(log: DataFrame) -> DataFrame:
 def append(log: DataFrame, batch: DataFrame, order: str, timestamp_ns: int, view_id: int) -> DataFrame:
     """log with the rows of batch (stream_id, flags, payload, and the column order) behind it, with the next indexes and one timestamp.
 
-    All or nothing: an empty payload, or one above MAX_PAYLOAD, fails the batch. A batch is one micro-batch and gets its ranks in one task.
+    All or nothing: an empty payload, or one above MAX_PAYLOAD, fails the batch. order is an integer column; ranks are counted by its buckets.
     """
     checked = F.when(F.length("payload").between(1, MAX_PAYLOAD), F.col("payload")).otherwise(F.raise_error(F.lit("payload is empty or too large")))
     begin = log.agg(F.coalesce(F.max("index") + 1, F.lit(0))).first()[0]
-    rank = F.row_number().over(Window.orderBy(order)) + F.lit(begin - 1)
-    rows = batch.select(rank.cast("long").alias("index"), F.lit(view_id).cast("long").alias("view_id"), "stream_id", F.lit(timestamp_ns).cast("long").alias("timestamp_ns"), "flags", F.lit(1).alias("schema_version"), checked.alias("payload"))
+    ranked = prefix(batch, order, F.lit(1), "rank")
+    rows = ranked.select((F.col("rank") + F.lit(begin - 1)).cast("long").alias("index"), F.lit(view_id).cast("long").alias("view_id"), "stream_id", F.lit(timestamp_ns).cast("long").alias("timestamp_ns"), "flags", F.lit(1).alias("schema_version"), checked.alias("payload"))
     return log.unionByName(rows, allowMissingColumns=True)
 
 

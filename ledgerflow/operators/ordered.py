@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Width of a bucket of the order column.
 WIDTH = 65_536
@@ -41,7 +43,8 @@ def carried_fold(df: DataFrame, key: str, order: list[str], columns: list[str],
     the key at hand is all that is kept. A key with very many rows takes time in proportion, no memory. schema
     names columns first, then the results.
     """
-    names = [part.split()[0] for part in schema.split(", ")]
+    fields = T.StructType.fromDDL(schema).fields
+    names, kinds = [f.name for f in fields], [to_arrow_type(f.dataType) for f in fields[len(columns) :]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, state, begun = None, None, False
@@ -55,8 +58,8 @@ def carried_fold(df: DataFrame, key: str, order: list[str], columns: list[str],
                     at, state, begun = row[0], fresh(), True
                 state, result = step(state, *row[1:])
                 results.append(result)
-            made = list(zip(*results, strict=True))
-            arrays = [batch.column(c) for c in columns] + [pa.array(c) for c in made]
+            made = zip(*results, strict=True)
+            arrays = [batch.column(c) for c in columns] + [pa.array(c, t) for c, t in zip(made, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     used = df.select(*dict.fromkeys([key, *order, *columns]))

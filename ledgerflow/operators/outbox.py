@@ -34,6 +34,17 @@ def next_cycle(outbox: DataFrame, key: list[str], limit: int = PER_CYCLE, in_fli
     return rows.orderBy("created_at", *key).limit(limit)
 
 
+def cycles(outbox: DataFrame, order: str, limit: int = PER_CYCLE) -> DataFrame:
+    """The pending effects with the cycle (from 0) in which each is run, limit a cycle in the order of an integer column; ranks go by its buckets."""
+    rows = prefix(pending(outbox), order, F.lit(1), "ahead", inclusive=False)
+    return rows.withColumn("cycle", F.floor(F.coalesce("ahead", F.lit(0)) / F.lit(limit)).cast("long")).drop("ahead")
+
+
+def counters(outbox: DataFrame) -> DataFrame:
+    """One row (executed, acknowledged): effects handed to an executor, and those whose acknowledgement came back."""
+    return outbox.agg(F.count("*").alias("executed"), F.count_if(F.col("status") == "Acknowledged").alias("acknowledged"))
+
+
 def timed_out(in_flight: DataFrame, now_ms: int, timeout_ms: int = TIMEOUT_MS) -> DataFrame:
     """Effects (started_ms) that have been in flight for longer than timeout_ms and are to be run again."""
     return in_flight.where(F.lit(now_ms) - F.col("started_ms") > timeout_ms)

@@ -116,3 +116,19 @@ def batch_admission(entries: DataFrame, expected: int) -> DataFrame:
     rows = entries.groupBy("batch").agg(F.count("*").alias("entries"), F.count_distinct("index").alias("kinds"), F.min("index").alias("lo"), F.max("index").alias("hi"))
     fits = (F.col("lo") == expected) & (F.col("hi") - F.col("lo") + 1 == F.col("entries")) & (F.col("kinds") == F.col("entries"))
     return rows.select("batch", "entries", fits.alias("admitted"))
+
+
+def manifests(ballots: DataFrame) -> DataFrame:
+    """(voter, highest_view, voted_for) after ballots (voter, view, candidate, time): a higher view clears the vote, and in a view the first candidate stays.
+
+    So what is left is the first candidate of the highest view: two combinable aggregates, no fold.
+    """
+    top = ballots.groupBy("voter", "view").agg(F.min_by("candidate", "time").alias("candidate"))
+    best = top.groupBy("voter").agg(F.max(F.struct("view", "candidate")).alias("m"))
+    return best.select("voter", F.col("m.view").alias("highest_view"), F.col("m.candidate").alias("voted_for"))
+
+
+def replication_gaps(states: DataFrame, cluster: Column, appended: Column, committed: Column) -> DataFrame:
+    """(cluster, appended, committed, gap): how far the committed index is behind the appended one, never below 0."""
+    rows = states.groupBy(cluster.alias("cluster")).agg(F.max(appended).alias("appended"), F.max(committed).alias("committed"))
+    return rows.withColumn("gap", F.greatest(F.lit(0), F.coalesce("appended", F.lit(0)) - F.coalesce("committed", F.lit(0))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.functions.scalar import session_class
@@ -47,7 +47,7 @@ def fair_order(requests: DataFrame) -> DataFrame:
 def batches(requests: DataFrame, key: str, time: str, size: str, order: str, max_bytes: int = BATCH_BYTES, max_delay: int = BATCH_DELAY_MS) -> DataFrame:
     """(order, key, batch, batch_bytes): a batch closes with the request that brings it to max_bytes, or before one that comes max_delay after its first."""
 
-    def step(state, number, at, n):
+    def step(state, _, number, at, n):
         batch, first, held = state
         if held and at - first >= max_delay:
             batch, held = batch + 1, 0
@@ -57,9 +57,9 @@ def batches(requests: DataFrame, key: str, time: str, size: str, order: str, max
         return ((batch + 1, None, 0) if held >= max_bytes else (batch, first, held)), result
 
     kinds = {f.name: f.dataType.simpleString() for f in requests.schema}
-    schema = f"{order} {kinds[order]}, {time} {kinds[time]}, {size} {kinds[size]}, batch long, batch_bytes long"
-    folded = carried_fold(requests, key, [order], [order, time, size], step, lambda: (0, None, 0), schema)
-    return requests.select(order, key).join(folded.select(order, "batch", "batch_bytes"), order)
+    schema = f"{key} {kinds[key]}, {order} {kinds[order]}, {time} {kinds[time]}, {size} {kinds[size]}, batch long, batch_bytes long"
+    folded = carried_fold(requests, key, [order], [key, order, time, size], step, lambda: (0, None, 0), schema)
+    return folded.select(order, key, "batch", "batch_bytes")
 
 
 def next_sequence(requests: DataFrame) -> DataFrame:
@@ -69,4 +69,4 @@ def next_sequence(requests: DataFrame) -> DataFrame:
 
 def numbered(payloads: DataFrame) -> DataFrame:
     """payloads (client_id, arrival) with sequence_number from 1 for each client."""
-    return payloads.withColumn("sequence_number", F.row_number().over(Window.partitionBy("client_id").orderBy("arrival")).cast("long"))
+    return prefix(payloads, "arrival", F.lit(1), "sequence_number", by=("client_id",)).withColumn("sequence_number", F.col("sequence_number").cast("long"))

@@ -56,6 +56,21 @@ def bridge(log: DataFrame, snapshot: dict | None, committed: int | None) -> str:
     return "ok" if entry["prev_hash"] == snapshot["chain_hash"] else "ChainBridgeMismatch"
 
 
+def bridges(log: DataFrame, snapshots: DataFrame, committed: int | None) -> DataFrame:
+    """snapshots (last_included_index, chain_hash) with verdict, as bridge() gives it for each: one join with the log, for the entries right after them."""
+    at = F.col("last_included_index")
+    after = log.select((F.col("index") - 1).alias("last_included_index"), "prev_hash", F.lit(True).alias("there"))
+    behind = F.lit(True) if committed is None else at > committed
+    verdict = F.when(behind, "LogBehindSnapshot").when(at == F.lit(committed), "ok").when(F.col("there").isNull(), "LogGap")
+    verdict = verdict.when(F.col("prev_hash").eqNullSafe(F.col("chain_hash")), "ok").otherwise("ChainBridgeMismatch")
+    return snapshots.join(after, "last_included_index", "left").withColumn("verdict", verdict).drop("prev_hash", "there")
+
+
+def due_since(points: DataFrame, interval: int = INTERVAL) -> DataFrame:
+    """as_of()'s rows with due: interval entries or more are to be replayed."""
+    return points.withColumn("due", F.col("to_replay") >= interval)
+
+
 def state_at(operations: DataFrame, at: int, snapshot: DataFrame | None = None, snapshot_index: int = -1, user: str = "user_id") -> DataFrame:
     """(user, balance) after index at: a snapshot's balances (user, balance) at snapshot_index, and only the operations after it."""
     suffix = operations.where((F.col("index") > snapshot_index) & (F.col("index") <= at))

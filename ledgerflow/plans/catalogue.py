@@ -117,12 +117,12 @@ def recovery_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {OPS.format('')}, {FOLD} {BALANCES}")
 def ledger_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.balances(ledger.outcomes(mapping.operations(spark, sf_dir)))
+    return mapping.plain(ledger.balances(ledger.outcomes(mapping.operations(spark, sf_dir))))
 
 
 @query(f"WITH RECURSIVE {OPS.format('')}, {FOLD} SELECT user_id, idx AS index, amount, balance FROM fold WHERE NOT accepted")
 def ledger_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.outcomes(mapping.operations(spark, sf_dir)).where("not accepted").select("user_id", "index", "amount", "balance")
+    return mapping.plain(ledger.outcomes(mapping.operations(spark, sf_dir)).where("not accepted")).select("user_id", "index", "amount", "balance")
 
 
 POISON = "(SELECT min(event_id) FROM events WHERE event_type = 'error' AND event_id >= 0.6 * (SELECT max(event_id) FROM events))"
@@ -132,7 +132,7 @@ POISON = "(SELECT min(event_id) FROM events WHERE event_type = 'error' AND event
 def ledger_poison_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = mapping.last_index(spark, sf_dir)
     poison = table(spark, sf_dir, "events").where((F.col("event_type") == "error") & (F.col("event_id") >= 0.6 * last)).select(F.col("event_id").alias("index"))
-    return ledger.balances(ledger.outcomes(ledger.before_poison(mapping.operations(spark, sf_dir), poison)))
+    return mapping.plain(ledger.balances(ledger.outcomes(ledger.before_poison(mapping.operations(spark, sf_dir), poison))))
 
 
 @query(f"WITH RECURSIVE {OPS.format('')}, {FOLD}, b AS ({BALANCES}) SELECT c_custkey AS user_id, coalesce(balance, 0)::BIGINT AS balance FROM customer LEFT JOIN b ON user_id = c_custkey")
@@ -146,7 +146,7 @@ def ledger_state_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     ops, at = mapping.operations(spark, sf_dir), mapping.last_index(spark, sf_dir) // 2
     kept = at // 300 * 300
     snapshot = snapshots.state_at(ops, kept)
-    return snapshots.state_at(ops, at, snapshot, kept)
+    return mapping.plain(snapshots.state_at(ops, at, snapshot, kept))
 
 
 REQUESTS = "r AS (SELECT event_id AS arrival, user_id AS client_id, (props->>'$.k')::BIGINT AS sequence_number FROM events), d AS (SELECT *, max(sequence_number) OVER (PARTITION BY client_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS highest FROM r), c AS (SELECT *, CASE WHEN highest IS NULL OR sequence_number > highest OR (sequence_number = 0 AND highest = 0) THEN 'new' WHEN sequence_number = highest THEN 'duplicate' ELSE 'stale' END AS class FROM d)"
@@ -294,12 +294,12 @@ def effect_id_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {OPS.format('')}, {FOLD} {BALANCES}")
 def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stream.balances(spark, f"{sf_dir}/events.parquet")
+    return mapping.plain(stream.balances(spark, f"{sf_dir}/events.parquet"))
 
 
 @query("""WITH a AS (SELECT l_orderkey AS index, min(l_orderkey * 16 + l_linenumber) AS first FROM lineitem GROUP BY 1), g AS (SELECT min(range) AS gap FROM range((SELECT max(index) + 2 FROM a)) WHERE range NOT IN (SELECT index FROM a))
 SELECT l_orderkey * 16 + l_linenumber AS arrival, l_orderkey AS index, CASE WHEN l_orderkey * 16 + l_linenumber <> first THEN 'duplicate' WHEN l_orderkey < gap THEN 'appended' ELSE 'early' END AS class FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) JOIN a ON index = l_orderkey, g""")
-def stream_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+def admit_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("arrival"), F.col("l_orderkey").alias("index")).distinct()
     return quorum.admit_in_order(rows)
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerflow.operators.ordered import prefix
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,9 +40,14 @@ def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("user_id", F.col("event_id").alias("index"), kind.alias("kind"), F.round(F.col("value") * 100).cast("long").alias("amount"))
 
 
+def plain(accounts: DataFrame) -> DataFrame:
+    """balance as a long: the tables' amounts are far below its bound."""
+    return accounts.withColumn("balance", F.col("balance").cast("long"))
+
+
 def _kth(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    return table(spark, sf_dir, "events").where(F.col("event_type") == kind).select("user_id", rank.cast("long").alias("k"), F.col("event_id").alias("index"))
+    rows = table(spark, sf_dir, "events").where(F.col("event_type") == kind).select("user_id", F.col("event_id").alias("index"))
+    return prefix(rows, "index", F.lit(1), "k", by=("user_id",)).select("user_id", F.col("k").cast("long").alias("k"), "index")
 
 
 def effects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +92,7 @@ def history(outcomes: DataFrame) -> DataFrame:
     Every third operation observes the balance; observations at indexes divisible by 97 are a thousand units low; operations at
     indexes divisible by 101 are recorded twice, the second time behind all.
     """
+    outcomes = plain(outcomes)
     seen = F.when(F.col("index") % 3 == 0, F.col("balance") - F.when(F.col("index") % 97 == 0, 100_000).otherwise(0))
     rows = outcomes.select(
         "user_id", F.col("index").alias("idx"), F.col("user_id").alias("client_id"), F.col("index").alias("sequence_number"), F.col("kind").alias("op"), "amount",

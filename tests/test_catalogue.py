@@ -8,7 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from ledgerflow.plans import catalogue
+from ledgerflow.plans import catalogue, durability  # noqa: F401
 
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE"}
 

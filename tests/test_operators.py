@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -214,3 +215,14 @@ def test_messages(spark):
     one = lambda *x: spark.createDataFrame([(i,) for i in x], "index long")
     assert got(messages.fill_gaps(one(0, 1, 4), one(1, 2, 3, 7))) == [(0, "received"), (1, "received"), (2, "caught_up"), (3, "caught_up"), (4, "received")]
     assert got(messages.wanted(one(0, 1, 5), 0, 6, 3)) == [(2, 2), (3, 4), (6, 6)]
+
+
+def test_amounts_are_unsigned_64_bit(spark):
+    top = (1 << 64) - 1
+    rows = [("a", 0, "deposit", 5), ("a", 1, "deposit", top), ("a", 2, "withdraw", top), ("a", 3, "withdraw", 1)]
+    done = ledger.outcomes(spark.createDataFrame([(u, i, k, Decimal(n)) for u, i, k, n in rows], "user_id string, index long, kind string, amount decimal(20,0)"))
+    assert [(r["index"], r.accepted, int(r.balance)) for r in done.orderBy("index").collect()] == [(0, True, 5), (1, True, top), (2, True, 0), (3, False, 0)]
+    longs = spark.createDataFrame([("a", i, "deposit", 1 << 62) for i in range(5)], "user_id string, index long, kind string, amount long")
+    assert [int(r.balance) for r in ledger.outcomes(longs).orderBy("index").collect()] == [1 << 62, 2 << 62, 3 << 62, top, top]
+    opening = spark.createDataFrame([("a", Decimal(top))], "user_id string, balance decimal(20,0)")
+    assert [int(r.balance) for r in ledger.balances(ledger.outcomes(longs.limit(0), opening)).collect()] == [top]

@@ -92,3 +92,42 @@ def test_state_equals_replay_from_genesis(spark):
     whole = sorted(tuple(r) for r in ledger.balances(ledger.outcomes(ops)).select("user_id", "balance").collect())
     for kept in range(4):
         assert sorted(tuple(r) for r in snapshots.state_at(ops, 3, snapshots.state_at(ops, kept), kept).collect()) == whole
+
+
+def test_damaged_snapshots_are_passed_over(spark, tmp_path):
+    folder = str(tmp_path)
+    ops, log = setup(spark, folder, (2, 5, 7))
+    spark.createDataFrame([("x",)], "effect_id string").write.mode("append").parquet(f"{folder}/last_included_index=7/outbox")
+    assert store.recover(spark, folder, ops, log, 9)[:2] == ("ok", 5)
+    none = spark.createDataFrame([], "effect_id string")
+    store.write_snapshot(folder, 8, snapshots.state_at(ops, 8), none, none, bytes([9]), 1, version=99)
+    assert store.recover(spark, folder, ops, log, 9)[:2] == ("ok", 5)
+
+
+def test_manifest_updates(spark, tmp_path):
+    at = str(tmp_path / "m")
+    store.write_manifest(spark, at, highest_view=3, last_log_index=7, last_log_view=2)
+    store.record_vote(spark, at, 4, 1)
+    store.record_vote(spark, at, 4, 1)
+    with pytest.raises(ValueError, match="no vote"):
+        store.record_vote(spark, at, 4, 2)
+    with pytest.raises(ValueError, match="no vote"):
+        store.record_vote(spark, at, 3, 1)
+    assert tuple(store.read_manifest(spark, at).first()) == (4, 4, 1, 7, 2)
+    store.advance_view(spark, at, 6)
+    assert tuple(store.read_manifest(spark, at).first()) == (6, None, None, 7, 2)
+    with pytest.raises(ValueError, match="isn't above"):
+        store.advance_view(spark, at, 6)
+    assert store.recover_manifest(spark, at, 6, 7)["highest_view"] == 6
+    with pytest.raises(RuntimeError, match="manifest"):
+        store.recover_manifest(spark, at, 7, 7)
+    rows = spark.read.parquet(at).withColumn("highest_view", rows_plus()).collect()
+    spark.createDataFrame(rows, spark.read.parquet(at).schema).write.mode("overwrite").parquet(at + "2")
+    with pytest.raises(Exception, match="checksum"):
+        store.read_manifest(spark, at + "2").collect()
+
+
+def rows_plus():
+    from pyspark.sql import functions as F
+
+    return F.col("highest_view") + 1
