@@ -9,10 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Candidates whose lists one task sorts, and queries that it answers.
-BLOCK, QUERIES = 16_384, 1_024
-#: Shares of the lists read by the end of each round; queries whose bounds are computed together.
-DEPTHS, GROUP = (0.8, 0.9, 1.0), 256
+#: Bytes of the sorted lists that one task holds, and of the queries that it answers; rows of either, at most.
+BLOCK_BYTES, QUERY_BYTES, BLOCK, QUERIES = 32 << 20, 16 << 20, 8_192, 32_768
+#: Shares of the lists read by the end of each round; queries whose bounds are kept together.
+DEPTHS, GROUP = (1 / 32, 1 / 8, 1 / 4, 1 / 2, 5 / 8, 3 / 4, 13 / 16, 7 / 8, 15 / 16, 1.0), 128
 #: Below any score.
 NOTHING = -(1 << 62)
 #: Products up to this size are exact as doubles, which multiply faster than integers.
@@ -27,43 +27,57 @@ def quantized(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
 
 
 class SortedLists:
-    """One list per dimension, its block's components in ascending order, read entry by entry from either end.
+    """One list per dimension: its block's components in ascending order, with the places of the vectors they belong to.
 
-    A query reads each list from the end where its product with the entries is largest. How deep the lists are read is the same for
-    all queries of a round, so what has been read from either end is one table for all of them, with bounds in place of unread entries:
-    the list's far end for a lower bound, its next entry for an upper one. Their products with a group of queries are all its bounds.
+    A query reads each list from the end where its product with the entries is largest, a stretch further each round, and
+    never looks a vector up. What it has read of a candidate gives its bounds: in place of an entry not yet read stands the
+    list's far end for the lower bound and the list's next entry for the upper one. How far the lists are read is the same for
+    all queries of a round, so what has been read from either end is one table for all of them.
     """
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray):
-        self.n, self.ids = len(ids), ids
-        self.vectors = vectors
-        order = np.argsort(vectors, axis=0, kind="stable")
-        self.values = np.take_along_axis(vectors, order, axis=0)
-        self.place = np.empty_like(order)
-        np.put_along_axis(self.place, order, np.arange(self.n)[:, None], axis=0)
-
-    def read(self, depth: int) -> tuple[np.ndarray, ...]:
-        """Tables after depth entries of every list: from the top (lower, upper bound), from the bottom (lower, upper bound)."""
-        x, v, n = self.vectors, self.values, self.n
-        top, bottom = self.place >= n - depth, self.place < depth
-        unread = min(depth, n - 1)
-        return np.where(top, x, v[0]), np.where(top, x, v[n - 1 - unread]), np.where(bottom, x, v[-1]), np.where(bottom, x, v[unread])
+        (self.n, self.d), self.ids = vectors.shape, ids
+        self.order = np.argsort(vectors, axis=0, kind="stable").T.copy()  # a list's places, dimension by dimension
+        self.values = np.take_along_axis(vectors.T, self.order, axis=1)
+        self.rank = np.empty_like(self.order)  # where in a list a vector comes up
+        np.put_along_axis(self.rank, self.order, np.arange(self.n)[None], axis=1)
+        self.found = np.zeros(self.order.shape, vectors.dtype)  # what the lists have shown so far, by vector
+        self.reads = 0  # entries that queries have read
+
+    def read(self, depth: int, top: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(lower, upper bound) of every component after depth entries of every list from the top, or from the bottom."""
+        v, n = self.values, self.n
+        stretch = slice(n - depth, n) if top else slice(0, depth)
+        np.put_along_axis(self.found, self.order[:, stretch], v[:, stretch], axis=1)
+        shown = self.rank >= n - depth if top else self.rank < depth
+        far, ahead = (v[:, :1], v[:, [n - 1 - min(depth, n - 1)]]) if top else (v[:, -1:], v[:, [min(depth, n - 1)]])
+        return np.where(shown, self.found, far), np.where(shown, self.found, ahead)
+
+    def resolve(self, query: np.ndarray, alive: np.ndarray, low: np.ndarray, depth: int) -> np.ndarray:
+        """Lower bounds once the lists have been read to their ends for the candidates alive: their scores."""
+        for rows, rest, far in ((query > 0, slice(0, self.n - depth), 0), (query < 0, slice(depth, self.n), -1)):
+            lists = np.flatnonzero(rows)
+            place, values = self.order[lists, rest], self.values[lists, rest]
+            self.reads += place.size
+            keep = alive[place]
+            gain = (values - self.values[lists, far][:, None]) * query[lists][:, None]
+            np.add.at(low, place[keep], gain[keep])
+        return low
 
     def top(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[int, int, int]]:
         """(query's id, id, score) of each query's k best by score, ties to the smaller id, without ids equal to its own.
 
-        After a round, a candidate whose upper bound is below the k-th best lower bound can't qualify. Once few are left, the rest of
-        the lists is read for them alone, which resolves their scores; at full depth both bounds are the score.
+        After a round, no candidate whose upper bound is below the k-th best lower bound can qualify, seen or not. Once few are left, the
+        rest of the lists is read for them alone, in their order, which resolves the scores.
         """
         out, k = [], min(k, self.n)
         left = np.arange(len(queries))
         for depth in sorted({max(1, round(self.n * share)) for share in DEPTHS}):
-            tables, waiting = self.read(depth), []
+            tables, waiting = [*self.read(depth, True), *self.read(depth, False)], []
             for at in range(0, len(left), GROUP):
                 group = left[at : at + GROUP]
                 up, down = np.maximum(queries[group], 0), np.minimum(queries[group], 0)
-                low = up @ tables[0].T + down @ tables[2].T
-                high = low if depth == self.n else up @ tables[1].T + down @ tables[3].T
+                low, high = up @ tables[0] + down @ tables[2], up @ tables[1] + down @ tables[3]
                 itself = self.ids == own[group][:, None]
                 low[itself] = high[itself] = NOTHING
                 bound = np.partition(low, self.n - k, axis=1)[:, self.n - k]
@@ -71,10 +85,11 @@ class SortedLists:
                 few = (alive.sum(1) <= max(4 * k, self.n // 32)) | (depth == self.n)
                 waiting.append(group[~few])
                 for row in np.flatnonzero(few):
+                    self.reads += depth * int((queries[group[row]] != 0).sum())
+                    score = self.resolve(queries[group[row]], alive[row], low[row], depth)
                     found = np.flatnonzero(alive[row])
-                    score = self.vectors[found] @ queries[group[row]]
-                    best = np.lexsort((self.ids[found], -score))[:k]
-                    out += [(int(own[group[row]]), int(self.ids[found[i]]), int(score[i])) for i in best]
+                    best = found[np.lexsort((self.ids[found], -score[found]))[:k]]
+                    out += [(int(own[group[row]]), int(self.ids[i]), int(score[i])) for i in best]
             left = np.concatenate(waiting) if waiting else left[:0]
             if not len(left):
                 break
@@ -84,15 +99,18 @@ class SortedLists:
 def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where is_query, its k largest integer inner products with other rows.
 
-    Rows are dealt by hash to blocks of about block candidates and about queries queries; a task sorts one block's lists
-    and answers one group of queries from them. Results of a query from all blocks, k each, are ranked together. Fewer
-    rows than k give all; ties go to the smaller vec_id; vectors of different lengths aren't compared. Rows that repeat an id are
-    candidates each, but none for a query of their own id. Vectors that are null or hold a null, NaN or infinity take no
-    part. An empty table gives none. Scores must fit a long.
+    Rows are dealt by hash to blocks of about block candidates and groups of about queries queries, fewer where vectors are long, so that a
+    task holds BLOCK_BYTES and QUERY_BYTES at most; it sorts one block's lists and answers one group of queries from them. Results of a query from all blocks, k each, are ranked together. Fewer rows than k give all; ties go
+    to the smaller vec_id; vectors of different lengths aren't compared. Rows that repeat an id are candidates each, but
+    none for a query of their own id. Vectors that are null or hold a null, NaN or infinity take no part. An empty table
+    gives none. Scores must fit a long. Each block is sent to every group of queries, and each query to every block: with
+    queries a fixed share of the rows, reading grows with the square of their number, as any full search of theirs does.
     """
     rows = quantized(vectors, id_col, vector_col, scale)
     asks = quantized(vectors.where(is_query), id_col, vector_col, scale)
-    n, m = rows.count(), asks.count()
+    n, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    m = asks.count()
+    block, queries = max(1, min(block, BLOCK_BYTES // (64 * max(1, width)))), max(1, min(queries, QUERY_BYTES // (8 * max(1, width))))
     blocks, groups = max(1, -(-n // block)), max(1, -(-m // queries))
     part = lambda of, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
@@ -102,7 +120,6 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str =
     def answer(block_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(block_rows) and len(query_rows):
-            block_rows = block_rows.sort_values("vec_id", kind="stable")
             x, q = (np.array(rows["v"].tolist(), np.int64).reshape(len(rows), -1) for rows in (block_rows, query_rows))
             if x.shape[1] * float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) < EXACT:
                 x, q = x.astype(np.float64), q.astype(np.float64)

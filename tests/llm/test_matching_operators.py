@@ -179,6 +179,17 @@ def test_contaminated_documents(spark, data):
     assert decontaminate.contaminated(table, bench.limit(0)).collect() == [] and decontaminate.contaminated(table.limit(0), bench).collect() == []
 
 
+def test_a_list_is_left_early_where_bounds_allow():
+    """One component decides: the lists of the others needn't be read far before a few candidates are left."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 3, (4_000, 4)).astype(float)
+    x[:, 0] = rng.permutation(4_000) ** 2
+    lists = topk.SortedLists(x, np.arange(4_000))
+    got = lists.top(x[:3] * [[1, 0, 0, 0]] + [[5.0, 0, 0, 0]], np.array([-1, -2, -3]), 5)
+    best = np.argsort(-x[:, 0])[:5].tolist()
+    assert [i for _, i, _ in got] == best * 3 and lists.reads <= 3 * 4_000
+
+
 def test_retrieval_recall_on_the_tables(spark, data):
     """All pairs with LCS of 0.8 of an item in some window, found by a scan of windows at every word."""
     docs, bench = read_table(spark, data, "documents"), read_table(spark, data, "benchmark")
@@ -197,11 +208,51 @@ def test_retrieval_recall_on_the_tables(spark, data):
     assert expected and len(found & expected) >= 0.9 * len(expected)
 
 
-def test_index_words_follow_the_tables(spark, data):
+def test_index_follows_the_tables(spark, data):
     docs, bench = read_table(spark, data, "documents"), read_table(spark, data, "benchmark")
-    index = decontaminate.build_index(texts_of(docs), bench, Scratch(spark, "test"))
-    unit, length = index.latent()
-    assert np.allclose(np.linalg.norm(unit, axis=1), 1, atol=1e-3) and (length > 0).all() and len(index.items) == bench.count()
+    index = decontaminate.build_index(texts_of(docs), decontaminate._rows(bench, "item_id", "text", None), Scratch(spark, "test"))
+    assert np.allclose(np.linalg.norm(index.units, axis=1), 1, atol=1e-3) and (index.lengths > 0).all() and len(index.ids) == bench.count()
+    texts = [set(decontaminate.words_of((r.text or "").encode())) for r in docs.collect()]
+    for word, k in list(index.vocabulary.items())[::40]:
+        assert index.idf[k] == pytest.approx(max(0.05, np.log((len(texts) + 1) / (sum(word in t for t in texts) + 0.5))))
+
+
+def test_the_latent_space_is_a_truncated_svd(spark, data, monkeypatch):
+    """Products in the space against those of an exact SVD of the same weighted passages."""
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(decontaminate, "RANK", 10)
+    topics = [[f"t{k}w{i}" for i in range(8)] for k in range(10)]
+    texts = [" ".join(rng.choice(topics[i % 10], 30)) for i in range(60)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(t), None) for k, t in enumerate(topics)], "i long, t string, a string")
+    index = decontaminate.build_index(table, bench, Scratch(spark, "test"))
+    rows = []
+    for weight, text in [(1, t) for t in texts] + [(decontaminate.WEIGHT, " ".join(t)) for t in topics]:
+        x = np.zeros(len(index.vocabulary))
+        for w in text.split():
+            x[index.vocabulary[w.encode()]] += index.idf[index.vocabulary[w.encode()]]
+        rows.append(np.sqrt(weight) * x / np.linalg.norm(x))
+    _, _, v = np.linalg.svd(np.array(rows))
+    space = v[:10].T @ v[:10]
+    ours = index.basis[:-1] / index.idf[:-1, None]
+    assert np.allclose(ours @ ours.T, space, atol=1e-3)
+
+
+def test_benchmark_in_parts_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "STRETCH", 64)
+    rng = random.Random(5)
+    speak = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(n)]
+    items = [speak(20) for _ in range(12)]
+    long = speak(500)
+    for k, at in enumerate(range(30, 480, 40)):
+        if k < len(items):
+            long[at:at] = items[k]
+    docs = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(speak(400))), (1, " ".join(items[3]))], "doc_id long, text string")
+    bench = spark.createDataFrame([*[(k, " ".join(w)) for k, w in enumerate(items)], (3, " ".join(speak(15))), (50, "abc")], "item_id long, text string")
+    for chars in (100, 1 << 20):
+        got = sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench, part_chars=chars).collect())
+        assert got == sorted([(1, k) for k in range(12)] + [(1, 3)])
+        assert [r.doc_id for r in decontaminate.drop_contaminated(docs, bench, part_chars=chars).collect()] == [2]
 
 
 def naive_top(rows, k):
@@ -237,7 +288,9 @@ def test_sorted_lists_by_integers_and_doubles(scale):
     rng = np.random.default_rng(0)
     x, ids = rng.integers(-9, 9, (300, 8)), np.arange(300) * 3
     for kind in (np.int64, np.float64):
-        got = sorted(topk.SortedLists((x * (scale if kind is np.int64 else 1)).astype(kind), ids).top(x[::7].astype(kind), ids[::7], 5))
+        lists = topk.SortedLists((x * (scale if kind is np.int64 else 1)).astype(kind), ids)
+        got = sorted(lists.top(x[::7].astype(kind), ids[::7], 5))
+        assert 0 < lists.reads <= len(x[::7]) * x.size  # each list is read once by each query, at most to its end
         assert len(got) == 5 * len(x[::7])
         for own, i, s in got:
             assert s == int(x[own // 3] @ x[i // 3]) * (scale if kind is np.int64 else 1)
