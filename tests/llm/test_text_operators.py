@@ -233,9 +233,13 @@ def test_lm_base_and_likelihood(spark, texts):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_forward_and_baum_welch_against_all_paths():
+@pytest.mark.parametrize("chunk", [512, 2, 1])
+def test_forward_and_baum_welch_against_all_paths(monkeypatch, chunk):
+    """Also where texts are cut: nothing is lost over the cuts."""
     from itertools import product
 
+    monkeypatch.setattr(hmm, "CHUNK", chunk)
+
     rng = np.random.default_rng(2)
     old, hmm.STATES = hmm.STATES, 3
     try:
