@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 from collections.abc import Iterator
@@ -48,6 +49,27 @@ LEET = str.maketrans("@4830!1$57", "aabeoiisst")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0?[1-9]|1[0-2])(?:[-/._]?(?:0?[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)\d\d", re.ASCII)
 
 
+#: A public vocabulary whose whole words, in its order, follow the common ones; the shortest and longest words of it that count.
+WORDS, SHORTEST, LONGEST = "word_bpe_49k.json", 3, 16
+
+
+@cache
+def dictionary(name: str | None = WORDS) -> dict[str, int]:
+    """Words by rank, the likeliest first: COMMON, then the whole words of letters of an installed vocabulary (None: no more)."""
+    ranks = {word: rank for rank, word in enumerate(COMMON)}
+    if name:
+        import public_tokenizers
+
+        with open(public_tokenizers.path(name), encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        suffix = model["end_of_word_suffix"]
+        for token in sorted(model["vocab"], key=model["vocab"].get):
+            word = token.removesuffix(suffix)
+            if word is not token and word.isascii() and word.isalpha() and SHORTEST <= len(word) <= LONGEST:
+                ranks.setdefault(word, len(ranks))
+    return ranks
+
+
 @cache
 def _neighbours() -> dict[str, set[str]]:
     near: dict[str, set[str]] = {}
@@ -67,13 +89,13 @@ def _spans(value: str) -> Iterator[tuple[int, int, float]]:
     """(start, end, log10 guesses) of the words, dates, repeats and keyboard walks in value."""
     lower, n = value.lower(), len(value)
     plain = lower.translate(LEET)
-    for rank, word in enumerate(COMMON):
-        for text, extra in ((lower, 0.0), (plain, 0.5)):
-            at = text.find(word)
-            while at >= 0:
-                case = 0.0 if value[at : at + len(word)].islower() or lower[at : at + len(word)].isdigit() else 0.5
-                yield at, at + len(word), math.log10(rank + 2) + extra + case
-                at = text.find(word, at + 1)
+    ranks = dictionary()
+    for at in range(n - SHORTEST + 1):
+        for end in range(at + SHORTEST, min(n, at + LONGEST) + 1):
+            for text, extra in ((lower, 0.0), (plain, 0.5)):
+                if (rank := ranks.get(text[at:end])) is not None and (extra == 0.0 or text[at:end] != lower[at:end]):
+                    case = 0.0 if value[at:end].islower() or lower[at:end].isdigit() else 0.5
+                    yield at, end, math.log10(rank + 2) + extra + case
     for at in range(n):
         if m := DATE.match(value, at):
             yield at, m.end(), math.log10(130 * 365 * 4 if m.end() - at > 4 else 130)
@@ -103,7 +125,7 @@ def _spans(value: str) -> Iterator[tuple[int, int, float]]:
 def guess_cost(value: str) -> float:
     """log10 of the guesses that the cheapest segmentation of value takes.
 
-    Segments are common words (with case and look-alike variants), dates, repeats, keyboard walks, and brute-force spans;
+    Segments are words of the dictionary (with case and look-alike variants), dates, repeats, keyboard walks, and brute-force spans;
     a segmentation costs the product of its parts' guesses, times two for each part after the first.
     Of a repeat or a walk only the longest span counts, so the work is linear in the value.
     """
