@@ -51,6 +51,7 @@ class CountTransducer:
         self.clear()
 
     def clear(self) -> None:
+        self.pairs.clear()
         self.steps: dict[tuple[int, str], tuple[int, int]] = {}
         self.states: list[tuple[str, tuple, tuple]] = [("", (None,), (0,))]
         self.ids = {self.states[0][:2] + self.states[0][2:]: 0}
@@ -128,7 +129,12 @@ class _Counts(dict):
 
 
 class CompiledTokenizer:
-    """Counts tokens of texts; compiled from a tokenizer file with word-end merges and the splitting pattern of Splitter(joined=False)."""
+    """Counts tokens of texts; compiled from a tokenizer file with word-end merges and the splitting pattern of Splitter(joined=False).
+
+    Two transducers in a row. The splitter's has few states, so its chunks' state maps compose by a prefix scan, which gives the
+    words' places whatever the text's length. The merges' has states made as words need them and carries the emitted-token
+    counts; a word begins it anew, so what its chunks would pass on is nothing but a count, and the counts of words add up.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
