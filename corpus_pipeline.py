@@ -50,7 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, scratch = read_table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    """The stages one after the other; a stage's table is removed once the next one's is written, the last one read by the result."""
+    docs, scratch, earlier = read_table(spark, sf_dir, "documents"), Scratch(spark, "pipeline"), None
     for _, stage in STAGES[:-1]:
         docs = scratch.save(stage(spark, docs, sf_dir))
+        if earlier is not None:
+            scratch.drop(earlier)
+        earlier = docs
     return STAGES[-1][1](spark, docs, sf_dir)
