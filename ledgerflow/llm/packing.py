@@ -3,24 +3,25 @@
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import Scratch, slices, texts_of
+from ledgerflow.llm.common import Scratch, local_frame, slices, texts_of, trim
 from ledgerflow.llm.transducer import Splitter
 
 #: Pieces of text whose ids a worker remembers.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 150_000
 #: Rows of one length in a bucket, about; ranks are counted bucket by bucket.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 500
 
 
 class _Ids(dict):
@@ -44,15 +45,21 @@ class ByteTokenizer:
     def __init__(self, name: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
+        self.path = public_tokenizers.path(f"{name}.json")
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as file:  # the same vocabulary as ranks
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.ids = _Ids(tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._encode_single_piece)
-        self.whole = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        with open(self.path, "rb") as file:
+            self.special = [t["content"] for t in json.load(file)["added_tokens"]]
         self.splitter = Splitter(joined=True)
 
+    @cached_property
+    def whole(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers; texts with special strings go to the library itself."""
         joined = "\n".join(texts) + "\n"
@@ -90,6 +97,7 @@ def pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k", end_id: int = 2, ca
                     rows.append((doc, k, at, size, zlib.crc32(data[4 * at : 4 * (at + size)])))
                     at, size, k = at + size, capacity, k + 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        trim()
 
     return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -219,11 +227,12 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k", end_id: int = 2, capa
     Every row of docs is a document, repeated ids included; a null or empty text gives one piece, the end id. An empty
     table gives none. The plan needs only how many pieces there are of each length, so what reaches the driver is
     at most capacity counts, whatever the input. Each piece's rank among those of its length, counted in hashed buckets of
-    about BUCKET_ROWS, tells its place in the plan; a length that a third of all documents share is many buckets.
+    about BUCKET_ROWS, tells its place in the plan; a length that a third of all documents share is many buckets, also
+    where the documents have no id or the same one.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    cut = scratch.save(pieces(docs, tokenizer, end_id, capacity, id_col, text_col))
+    cut = scratch.save(pieces(docs, tokenizer, end_id, capacity, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
     totals = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = plan_packing(totals, capacity)
     slots, first, used = [], 0, dict.fromkeys(totals, 0)
@@ -234,12 +243,13 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k", end_id: int = 2, capa
             used[size] += many * each
             offset += each * size
         first += many
-    table = spark.createDataFrame(slots, "length long, lo long, hi long, first long, each long, base long")
-    buckets = max(1, -(-sum(totals.values()) // BUCKET_ROWS))
-    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    names = "length lo hi first each base".split()
+    table = local_frame(spark, {n: [slot[i] for slot in slots] for i, n in enumerate(names)}, ", ".join(f"{n} long" for n in names))
+    parts = local_frame(spark, {"length": list(totals), "buckets": [-(-n // BUCKET_ROWS) for n in totals.values()]}, "length long, buckets long")
+    cut = cut.join(F.broadcast(parts), "length").withColumn("bucket", F.pmod(F.xxhash64("row"), F.col("buckets")))  # capacity rows at most
     before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     start = cut.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row")) - 1
     ranked = cut.withColumn("rank", rank).join(start, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
     # at most a few thousand rows: a pattern for each step of a plan over capacity lengths
     placed = ranked.join(F.broadcast(table) if len(slots) < 100_000 else table, (ranked.length == table.length) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
