@@ -7,30 +7,41 @@ from pyspark.sql import functions as F
 
 from ledgerflow.llm.common import Scratch
 
+#: Edges from which a node is a hub, at least, and hubs at most.
+LEAST_HUB, HUBS = 500, 200_000
+
 
 def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for every node of an edge (src long, dst long); root is the component's smallest node.
 
-    Each round shuffles edges only, never more of them than there were, and ends in a table in the shared
-    folder. Rounds grow with the logarithm of the longest chain. Hub nodes are reduced by map-side minima, and their
-    join is left to adaptive skew handling. Self-loops and repeated edges are ignored; no edges give no rows.
+    Large-star and small-star steps go on until the edges are stars around roots. Each round shuffles edges only, never more of them than there were, and ends in a table in the shared folder. Rounds grow
+    with the logarithm of the longest chain. Hub nodes are reduced by map-side minima, and their edges meet that minimum by
+    a broadcast of the hubs alone: the bound is such that there are HUBS of them at most. Self-loops and repeated edges are
+    ignored; no edges give no rows.
     """
     e = scratch.save(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
-    mark = _mark(e)
-    while mark[0]:
+    while not _settled(e):
+        hub = max(LEAST_HUB, 2 * e.count() // HUBS)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v")).distinct()
+        large = _with_least(both, both.where("v > u"), hub).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        small = _with_least(large, large, hub)
+        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(large.groupBy("u").agg(F.min("v").alias("v"))).distinct()
         after = scratch.save(small)
         scratch.drop(e)
-        e, before, mark = after, mark, _mark(after)
-        if mark == before:
-            break
+        e = after
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _mark(e: DataFrame) -> tuple:
-    """Row count and an order-free hash of an edge table; equal marks mean that a round changed nothing."""
-    return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 31) - 1)))).first())
+def _settled(e: DataFrame) -> bool:
+    """Whether an edge table is made of stars around roots: each node has one edge, and no root has one."""
+    once = e.groupBy("u").agg(F.count("*").alias("n"))
+    roots = e.select(F.col("v").alias("u")).distinct()
+    return once.where("n > 1").isEmpty() and once.join(roots, "u", "left_semi").isEmpty()
+
+
+def _with_least(all_edges: DataFrame, edges: DataFrame, hub: int) -> DataFrame:
+    """edges (u, v) with m, the least v of u in all_edges. Nodes of over hub edges are broadcast, their edges stay where they are."""
+    low = all_edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hubs = F.broadcast(low.where(F.col("n") > hub).select("u", "m"))
+    others = edges.join(hubs, "u", "left_anti").join(low.where(F.col("n") <= hub).select("u", "m"), "u")
+    return edges.join(hubs, "u").unionByName(others)

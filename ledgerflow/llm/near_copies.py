@@ -17,22 +17,32 @@ from ledgerflow.llm.simhash import fingerprint_series, links, shingle_hashes
 #: Words of a shingle; Jaccard similarity from which texts are copies, as a fraction.
 SHINGLE, SIMILARITY = 5, (4, 5)
 #: Fingerprints of a text, blocks of each, and bits in which candidates differ at most: similarity 0.8 as a share of the 64 bits.
-VIEWS, BLOCKS, BUDGET = 14, 4, 13
+VIEWS, BLOCKS, BUDGET = 12, 4, 12
+#: Fingerprints that are joined first: what they link is one node for the others, so that a large group of copies isn't linked again in every block.
+FIRST = 2
 #: Texts and bytes of text that one task compares; larger groups are split into pairs of parts.
 GROUP_LIMIT, GROUP_BYTES = 1_000, 4 << 20
+#: Texts with which all others are compared before the rest, at most.
+LEADERS = 64
 
 _TURNS = np.random.default_rng(5).integers(1, 1 << 63, VIEWS, dtype=np.uint64)
 
 
 def confirmed(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Edges that chain up all nodes whose sets have a Jaccard similarity of SIMILARITY or more, by comparing all pairs that share a member."""
+    """Edges, to the smallest node of each group, that chain up all nodes whose sets have a Jaccard similarity of SIMILARITY or more.
+
+    First some texts, each of no group so far, are compared with all: a dense group of copies becomes one by a few of them. Then
+    every text outside the largest group is compared with all that share a member of its set. Two texts of the largest group are
+    linked already, so no link between groups is missed, and no pair within the largest group is looked at.
+    """
     over, under = SIMILARITY
+    n = len(sets)
+    if n < 2:
+        return []
     sizes = np.array([len(s) for s in sets], np.int64)
     _, member = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(member, kind="stable")
-    listed, starts = owner[order], np.concatenate(([0], np.bincount(member).cumsum()))
-    ends, up = sizes.cumsum(), list(range(len(sets)))
+    ends = sizes.cumsum()
+    starts, up = ends - sizes, list(range(n))
 
     def top(x: int) -> int:
         while up[x] != x:
@@ -40,20 +50,39 @@ def confirmed(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]
             x = up[x]
         return x
 
-    edges = []
-    for i in range(len(sets)):
-        own = member[ends[i] - sizes[i] : ends[i]]
-        own = own[starts[own + 1] - starts[own] > 1]
-        if not len(own):
-            continue
-        both = np.bincount(np.concatenate([listed[starts[x] : starts[x + 1]] for x in own.tolist()]), minlength=len(sets))
-        hits = np.flatnonzero((under + over) * both >= over * (sizes[i] + sizes))  # both / (a + b - both) >= over / under
-        for j in hits[hits > i].tolist():
+    def link(i: int, both: np.ndarray) -> None:
+        for j in np.flatnonzero((under + over) * both >= over * (sizes[i] + sizes)).tolist():  # both / (a + b - both) >= over / under
             a, b = top(i), top(j)
-            if a != b:
-                up[max(a, b)] = min(a, b)
-                edges.append((int(nodes[i]), int(nodes[j])))
-    return edges
+            up[max(a, b)] = min(a, b)
+
+    full, led = sizes > 0, 0
+    mark = np.zeros(int(member.max()) + 1 if len(member) else 1, np.int64)
+    for i in range(n):
+        if led == min(LEADERS, 1 + n // 8):
+            break
+        if full[i] and up[i] == i:
+            own = member[starts[i] : ends[i]]
+            mark[own] = 1
+            both = np.zeros(n, np.int64)
+            both[full] = np.add.reduceat(mark[member], starts[full])
+            mark[own] = 0
+            link(i, both)
+            led += 1
+    groups = np.array([top(i) for i in range(n)])
+    largest = np.bincount(groups).argmax()
+    rest = np.flatnonzero((groups != largest) & full)
+    if len(rest):
+        order = np.argsort(member, kind="stable")
+        listed, begins = np.repeat(np.arange(n), sizes)[order], np.concatenate(([0], np.bincount(member).cumsum()))
+        for i in rest.tolist():
+            own = member[starts[i] : ends[i]]
+            own = own[begins[own + 1] - begins[own] > 1]
+            if len(own):
+                link(i, np.bincount(np.concatenate([listed[begins[x] : begins[x + 1]] for x in own.tolist()]), minlength=n))
+    groups, least = [top(i) for i in range(n)], {}
+    for i, g in enumerate(groups):
+        least[g] = min(least.get(g, nodes[i]), nodes[i])
+    return [(int(nodes[i]), int(least[g])) for i, g in enumerate(groups) if nodes[i] != least[g]]
 
 
 def near_copies(docs: DataFrame, row_col: str = "row", text_col: str = "text", group_limit: int = GROUP_LIMIT, group_bytes: int = GROUP_BYTES) -> DataFrame:
@@ -80,9 +109,17 @@ def near_copies(docs: DataFrame, row_col: str = "row", text_col: str = "text", g
 
     marked = scratch.save(texts.mapInArrow(mark, "row long, digest binary, fp array<long>"))
     nodes = scratch.save(marked.groupBy("digest").agg(F.min(F.struct("row", "fp")).alias("n")).select("digest", F.col("n.row").alias("node"), F.col("n.fp").alias("fp")))
-    shared = scratch.save(links(nodes.select("node", "fp"), BUDGET, blocks=BLOCKS))
-    groups = scratch.save(connected_components(spark, shared, scratch))
-    scratch.drop(shared)
+    early = scratch.save(links(nodes.select("node", F.slice("fp", 1, FIRST).alias("fp")), BUDGET, blocks=BLOCKS))
+    linked = scratch.save(connected_components(spark, early, scratch))
+    labels = nodes.join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("label"), F.slice("fp", FIRST + 1, VIEWS - FIRST).alias("fp"))
+    labels = scratch.save(labels)
+    late = scratch.save(links(labels.select(F.col("label").alias("node"), "fp"), BUDGET, blocks=BLOCKS))
+    roots = scratch.save(connected_components(spark, late, scratch))
+    found = labels.select("node", "label").join(roots.withColumnRenamed("node", "label"), "label", "left")
+    moved = found.select("node", F.coalesce("root", "label").alias("root")).where("node <> root")
+    groups = scratch.save(moved.unionByName(moved.select(F.col("root").alias("node"), "root").distinct()))
+    for table in (early, linked, labels, late, roots):
+        scratch.drop(table)
     own = scratch.save(texts.join(groups.withColumnRenamed("node", "row"), "row"))
     parts = F.ceil(2 * F.greatest(F.count("*") / F.lit(group_limit), F.sum(F.octet_length("text")) / F.lit(group_bytes))).alias("parts")
     large = own.groupBy("root").agg(parts).where("parts > 2")
@@ -91,11 +128,11 @@ def near_copies(docs: DataFrame, row_col: str = "row", text_col: str = "text", g
     member = member.select("row", "text", "root", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(tags)).alias("tag"))
 
     def confirm(table: pa.Table) -> pa.Table:
-        sets = [np.unique(shingle_hashes(t, SHINGLE)) for t in table.column("text").cast(pa.binary()).to_pylist()]
+        sets = [np.unique(shingle_hashes(t.as_py().encode("utf-8", "surrogatepass"), SHINGLE)) for t in table.column("text")]
         edges = confirmed(table.column("row").to_numpy(), sets)
         return pa.table({"src": pa.array([a for a, _ in edges], pa.int64()), "dst": pa.array([b for _, b in edges], pa.int64())})
 
-    edges = scratch.save(member.groupBy("root", "tag").applyInArrow(confirm, "src long, dst long"))
+    edges = scratch.save(member.repartition("root", "tag").groupBy("root", "tag").applyInArrow(confirm, "src long, dst long"))
     roots = connected_components(spark, edges, scratch)
     scratch.drop(own)
     scratch.drop(edges)

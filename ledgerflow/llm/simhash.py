@@ -15,10 +15,10 @@ from ledgerflow.llm.components import connected_components
 
 #: Distinct fingerprints of one block value that one task joins; larger groups are split into pairs of parts.
 GROUP_LIMIT = 20_000
-#: Words of small groups that a task joins at one time.
-TOGETHER = 100_000
+#: Words of small groups that a task joins at one time; split groups whose numbers of parts are broadcast, at most.
+TOGETHER, LARGE_GROUPS = 50_000, 100_000
 #: Node pairs that a step of the traversal handles at one time.
-FRONTIER = 1 << 17
+FRONTIER = 1 << 14
 #: Leaf pairs below two nodes up to which they are compared at once.
 LEAVES = 64
 
@@ -37,31 +37,32 @@ def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, n)
 
 
-def _majority(hashes: np.ndarray) -> np.ndarray:
-    """For each column of 64-bit hashes the word of the bits that are set in over half of the rows."""
-    n, width = hashes.shape
-    ones = np.zeros(64 * width, np.int64)
-    for at in range(0, n, 255):  # so many rows add up within a byte
-        part = np.ascontiguousarray(hashes[at : at + 255]).view(np.uint8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.uint8)
+def _majority(parts: Iterator[np.ndarray], n: int) -> np.ndarray:
+    """For each column of 64-bit hashes the word of the bits that are set in over half of the n rows, which come in parts."""
+    ones = 0
+    for part in parts:
+        for at in range(0, len(part), 255):  # so many rows add up within a byte
+            some = np.ascontiguousarray(part[at : at + 255]).view(np.uint8)
+            ones = ones + np.unpackbits(some, axis=1, bitorder="little").sum(0, dtype=np.uint8).astype(np.int64)
     return np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)
 
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
     """The text's fingerprint: a bit is set if it is set in over half of the shingles' hashes."""
     hashes = shingle_hashes(text, shingle)
-    return int(_majority(hashes[:, None])[0]) if len(hashes) else 0
+    return int(_majority(iter([hashes[:, None]]), len(hashes))[0]) if len(hashes) else 0
 
 
 def fingerprint_series(text: bytes, shingle: int, turns: np.ndarray) -> np.ndarray:
     """One fingerprint for each of turns, from the shingles' hashes scrambled by it: independent views of one text. All zero without words."""
     hashes = shingle_hashes(text, shingle)
-    out = np.zeros(len(turns), np.uint64)
-    if len(hashes):
-        x = (hashes[:, None] ^ turns) * np.uint64(0xFF51AFD7ED558CCD)  # fixed values: multipliers of a public 64-bit finalizer
+
+    def scrambled(at: int) -> np.ndarray:
+        x = (hashes[at : at + 4080, None] ^ turns) * np.uint64(0xFF51AFD7ED558CCD)  # fixed values: multipliers of a public 64-bit finalizer
         x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-        out = _majority(x ^ (x >> np.uint64(33)))
-    return out
+        return x ^ (x >> np.uint64(33))
+
+    return _majority(map(scrambled, range(0, len(hashes), 4080)), len(hashes)) if len(hashes) else np.zeros(len(turns), np.uint64)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -168,19 +169,24 @@ def _cuts(blocks: int) -> list[tuple[int, int]]:
 
 
 def _joined(fp: np.ndarray, node: np.ndarray, start: int, width: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """(src, dst) that chain up the nodes whose words agree in the block and differ in at most budget bits."""
+    """(src, dst) from the nodes of each component of words that agree in the block and chain up within budget bits to its smallest node.
+
+    Components of different blocks that share their smallest node so give the same edges, and the edges of a group of copies stay few.
+    """
     shift = np.uint64(start)
     word = (fp << shift) | (fp >> np.uint64(64 - start)) if start else fp
     by = np.lexsort((node, word))
     word, node = word[by], node[by]
     first = np.concatenate(([True], word[1:] != word[:-1]))
-    again = np.flatnonzero(~first)  # nodes with one word
-    distinct, own = word[first], node[first]
-    src, dst = node[again], own[first.cumsum()[again] - 1]
+    distinct = word[first]
     top = distinct >> np.uint64(64 - width)
     label = trie_components(distinct, np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1]))), budget)
-    moved = np.flatnonzero(label != np.arange(len(label)))
-    return np.concatenate([src, own[moved]]), np.concatenate([dst, own[label[moved]]])
+    own = label[first.cumsum() - 1]
+    order = np.lexsort((node, own))
+    begins = np.flatnonzero(np.concatenate(([True], own[order][1:] != own[order][:-1])))
+    least = np.repeat(node[order][begins], np.diff(np.append(begins, len(order))))
+    moved = node[order] != least
+    return node[order][moved], least[moved]
 
 
 def links(words: DataFrame, budget: int = 4, group_limit: int = GROUP_LIMIT, blocks: int | None = None) -> DataFrame:
@@ -194,13 +200,24 @@ def links(words: DataFrame, budget: int = 4, group_limit: int = GROUP_LIMIT, blo
     most one edge comes out per word and task.
     """
     cuts = _cuts(blocks or budget + 1)
-    value = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(F.shiftleft(F.col("fp"), a), 64 - w).alias("v")) for k, (a, w) in enumerate(cuts)])
-    dealt = words.select("node", F.posexplode("fp").alias("place", "fp")).select("node", "place", "fp", F.explode(value).alias("b")).select("node", "fp", (F.col("place") * len(cuts) + F.col("b.k")).alias("k"), "b.v")
-    parts = F.ceil(F.col("count") * 2 / group_limit).cast("long")
-    large = dealt.groupBy("k", "v").count().where(F.col("count") > group_limit).select("k", "v", parts.alias("parts"))
-    own = F.pmod(F.xxhash64("fp", "node"), F.col("parts"))
-    tags = F.expr("transform(filter(sequence(0L, coalesce(parts, 1L) - 1), x -> x <> own), x -> least(x, own) * parts + greatest(x, own))")
-    dealt = dealt.join(large, ["k", "v"], "left").withColumn("own", own).select("fp", "node", "k", "v", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(tags)).alias("tag"))
+    n = len(cuts)
+    each = words.select("node", F.posexplode("fp").alias("place", "fp")).select("node", "fp", F.explode(F.sequence(F.col("place") * n, F.col("place") * n + n - 1)).alias("k"))
+    value = F.lit(None).cast("long")
+    for k, (a, w) in enumerate(cuts):  # a block's value is computed where it is needed and not shuffled
+        value = F.when(F.col("k") % n == k, F.shiftrightunsigned(F.shiftleft(F.col("fp"), a), 64 - w)).otherwise(value)
+    large = each.groupBy("k", value.alias("v")).count().where(F.col("count") > group_limit)
+    large = Scratch(words.sparkSession, "links").save(large.select("k", "v", F.ceil(F.col("count") * 2 / group_limit).cast("long").alias("parts")))
+    found = large.count()
+    tag = F.lit(-1).cast("long")
+    if found:
+        large = F.broadcast(large) if found <= LARGE_GROUPS else large
+        own = F.pmod(F.xxhash64("fp", "node"), F.col("parts"))
+        tags = F.expr("transform(filter(sequence(0L, coalesce(parts, 1L) - 1), x -> x <> own), x -> least(x, own) * parts + greatest(x, own))")
+        each = each.withColumn("v", value).join(large, ["k", "v"], "left").withColumn("own", own)
+        each = each.select("node", "fp", "k", F.explode(F.when(F.col("parts").isNull(), F.array(tag)).otherwise(tags)).alias("tag"))
+    else:
+        each = each.withColumn("tag", tag)
+    dealt = each.repartition("k", value, "tag").select("fp", "node", "k", value.alias("v"), "tag").sortWithinPartitions("k", "tag", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -233,7 +250,7 @@ def links(words: DataFrame, budget: int = 4, group_limit: int = GROUP_LIMIT, blo
         held.clear()
         trim()
 
-    return dealt.repartition("k", "v", "tag").sortWithinPartitions("k", "tag", "v").mapInArrow(run, "src long, dst long")
+    return dealt.mapInArrow(run, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, budget: int = 4, group_limit: int = GROUP_LIMIT) -> DataFrame:
