@@ -14,7 +14,7 @@ LEAST_HUB, HUBS = 500, 200_000
 def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for every node of an edge (src long, dst long); root is the component's smallest node.
 
-    Large-star and small-star steps go on until the edges are stars around roots. Each round shuffles edges only, never more of them than there were, and ends in a table in the shared folder. Rounds grow
+    Large-star and small-star steps go on until the edges are stars around roots. Each round shuffles edges only, never more of them than there were, and each of its steps ends in a table in the shared folder: the driver plans one step at a time. Rounds grow
     with the logarithm of the longest chain. Hub nodes are reduced by map-side minima, and their edges meet that minimum by
     a broadcast of the hubs alone: the bound is such that there are HUBS of them at most. Self-loops and repeated edges are
     ignored; no edges give no rows.
@@ -24,19 +24,21 @@ def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch
         hub = max(LEAST_HUB, 2 * e.count() // HUBS)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both, both.where("v > u"), hub).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large = scratch.save(large)  # read four times below: in one plan it would be computed and planned as often
         small = _with_least(large, large, hub)
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(large.groupBy("u").agg(F.min("v").alias("v"))).distinct()
         after = scratch.save(small)
         scratch.drop(e)
+        scratch.drop(large)
         e = after
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def _settled(e: DataFrame) -> bool:
     """Whether an edge table is made of stars around roots: each node has one edge, and no root has one."""
-    once = e.groupBy("u").agg(F.count("*").alias("n"))
-    roots = e.select(F.col("v").alias("u")).distinct()
-    return once.where("n > 1").isEmpty() and once.join(roots, "u", "left_semi").isEmpty()
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    by = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not by.agg(F.count_if((F.col("up") > 1) | (F.col("up") > 0) & (F.col("down") > 0))).first()[0]
 
 
 def _with_least(all_edges: DataFrame, edges: DataFrame, hub: int) -> DataFrame:
