@@ -107,3 +107,18 @@ def test_stage_keeps_what_op6_predicts_as_clean(spark):
     assert kept.columns == df.columns and sorted(map(repr, (r.doc_id for r in kept.collect()))) == sorted(map(repr, (r.doc_id for r in want.collect())))
     assert toxicity.drop_toxic(df, labels.limit(0)).count() == df.count() and toxicity.drop_toxic(df.limit(0), labels).count() == 0
     assert training.FOLDS == 5
+
+
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
+    """Whatever the groups' bounds, each rejected row meets its PARTNERS preferred ones, and the fit is that of all rows that aren't held out."""
+    rows, seen = spoken(200), []
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame([(i, v) for i, _, v in rows], "doc_id long, quality int")
+    whole = quality.fit(docs.join(training.known_labels(labels, "quality"), "doc_id"))
+    fit_features = quality.fit_features
+    monkeypatch.setattr(quality, "BLOCK", 7)
+    monkeypatch.setattr(quality, "PART", 3)
+    monkeypatch.setattr(quality, "fit_features", lambda df: seen.append((df.count(), fit_features(df))) or seen[-1][1])
+    quality.quality_scores(docs, labels)
+    n, model = seen[0]
+    assert n == training.known_labels(labels, "quality").count() and np.allclose(model["w"], whole["w"], atol=1e-9) and model["cut"] == pytest.approx(whole["cut"], abs=1e-9)
