@@ -21,6 +21,11 @@ TOGETHER, LARGE_GROUPS = 50_000, 100_000
 FRONTIER = 1 << 14
 #: Leaf pairs below two nodes up to which they are compared at once.
 LEAVES = 64
+#: Minima that a sketch keeps, BITS of each; equal ones from which two sketches agree: at a Jaccard similarity of 0.8 there are fewer in one pair of 10^8,
+#: of texts without a common shingle as many in one pair of 4 * 10^6.
+MINIMA, BITS, EQUAL = 32, 4, 12
+#: Rows up to which a component's sketches are compared pair by pair; those that are compared with all others before, in larger ones; pairs at one time.
+FEW, LEADERS, PAIRS = 32, 64, 1 << 16
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -53,16 +58,77 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
     return int(_majority(iter([hashes[:, None]]), len(hashes))[0]) if len(hashes) else 0
 
 
-def fingerprint_series(text: bytes, shingle: int, turns: np.ndarray) -> np.ndarray:
-    """One fingerprint for each of turns, from the shingles' hashes scrambled by it: independent views of one text. All zero without words."""
-    hashes = shingle_hashes(text, shingle)
-
-    def scrambled(at: int) -> np.ndarray:
+def _scrambled(hashes: np.ndarray, turns: np.ndarray) -> Iterator[np.ndarray]:
+    """For some hashes after the other, a row each, their scrambled values, a column for each of turns."""
+    for at in range(0, len(hashes), 4080):
         x = (hashes[at : at + 4080, None] ^ turns) * np.uint64(0xFF51AFD7ED558CCD)  # fixed values: multipliers of a public 64-bit finalizer
         x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-        return x ^ (x >> np.uint64(33))
+        yield x ^ (x >> np.uint64(33))
+
+
+def fingerprint_series(hashes: np.ndarray, turns: np.ndarray) -> np.ndarray:
+    """One fingerprint for each of turns, from the shingles' hashes scrambled by it: independent views of one text. All zero without words."""
+    return _majority(_scrambled(hashes, turns), len(hashes)) if len(hashes) else np.zeros(len(turns), np.uint64)
+
+
+def sketch(hashes: np.ndarray, turns: np.ndarray) -> np.ndarray:
+    """BITS of the least scrambled hash for each of MINIMA turns, as words of 64 bits: of two sets' the share of equal ones follows their Jaccard similarity."""
+    least = np.min([x.min(0) for x in _scrambled(hashes, turns)], axis=0) if len(hashes) else np.zeros(len(turns), np.uint64)
+    each = 64 // BITS
+    parts = (least & np.uint64((1 << BITS) - 1)).reshape(-1, each) << (np.arange(each, dtype=np.uint64) * np.uint64(BITS))
+    return np.bitwise_or.reduce(parts, axis=1)
+
 
-    return _majority(map(scrambled, range(0, len(hashes), 4080)), len(hashes)) if len(hashes) else np.zeros(len(turns), np.uint64)
+def agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sketches, of words along the first axis, have EQUAL equal minima or more."""
+    other = np.uint8(0)
+    for x in map(np.bitwise_xor, a, b):
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        x &= np.uint64(0x1111111111111111)
+        other = other + np.bitwise_count(x)
+    return other <= MINIMA - EQUAL
+
+
+def agreeing(own: np.ndarray, sketches: np.ndarray) -> np.ndarray:
+    """Labels (a row's place each) of the components that agreeing sketches (word by row) make within those of own, all pairs of which count.
+
+    In a large one some rows, each of no group so far, are compared with all first; then all outside the largest group are. Two rows of the
+    largest group are of one component already, so no link is missed.
+    """
+    label, order = np.arange(len(own)), np.argsort(own, kind="stable")
+    begins = np.flatnonzero(np.concatenate(([True], own[order][1:] != own[order][:-1])))
+    sizes = np.diff(np.append(begins, len(order)))
+    few = (sizes > 1) & (sizes <= FEW)
+    first, last = np.repeat(begins[few], sizes[few]), np.repeat((begins + sizes)[few], sizes[few])
+    place = np.arange(len(first)) - np.repeat(sizes[few].cumsum() - sizes[few], sizes[few]) + first  # of each row of a small one
+    after = last - place - 1
+    for at in range(0, len(place), PAIRS // FEW):
+        some, n = place[at : at + PAIRS // FEW], after[at : at + PAIRS // FEW]
+        i = np.repeat(some, n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(n.cumsum() - n, n)
+        i, j = order[i], order[j]
+        linked = agree(sketches[:, i], sketches[:, j])
+        label = _unite(label, i[linked], j[linked])
+    for a, n in zip(begins[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
+        rows = order[a : a + n]
+        held, inner, led = sketches[:, rows], np.arange(n), -1
+        for _ in range(min(LEADERS, n // 8)):
+            alone = np.flatnonzero(np.bincount(inner, minlength=n)[inner] == 1)
+            alone = alone[alone > led]
+            if not len(alone):
+                break
+            led = alone[0]
+            linked = np.flatnonzero(agree(held, held[:, alone[:1]]))
+            inner = _unite(inner, linked, np.full(len(linked), led))
+        rest = np.flatnonzero(inner != np.bincount(inner).argmax())
+        step = max(1, PAIRS // n)
+        for at in range(0, len(rest), step):
+            some = rest[at : at + step]
+            i, j = np.nonzero(agree(held[:, some, None], held[:, None]))
+            inner = _unite(inner, some[i], j)
+        label[rows] = rows[inner]
+    return label
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -168,10 +234,10 @@ def _cuts(blocks: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _joined(fp: np.ndarray, node: np.ndarray, start: int, width: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+def _joined(fp: np.ndarray, node: np.ndarray, start: int, width: int, budget: int, sketches: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(src, dst) from the nodes of each component of words that agree in the block and chain up within budget bits to its smallest node.
 
-    Components of different blocks that share their smallest node so give the same edges, and the edges of a group of copies stay few.
+    With sketches a component falls into those that agreeing sketches make. Components of different blocks that share their smallest node so give the same edges, and the edges of a group of copies stay few.
     """
     shift = np.uint64(start)
     word = (fp << shift) | (fp >> np.uint64(64 - start)) if start else fp
@@ -182,6 +248,8 @@ def _joined(fp: np.ndarray, node: np.ndarray, start: int, width: int, budget: in
     top = distinct >> np.uint64(64 - width)
     label = trie_components(distinct, np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1]))), budget)
     own = label[first.cumsum() - 1]
+    if sketches is not None:
+        own = agreeing(own, sketches[:, by])
     order = np.lexsort((node, own))
     begins = np.flatnonzero(np.concatenate(([True], own[order][1:] != own[order][:-1])))
     least = np.repeat(node[order][begins], np.diff(np.append(begins, len(order))))
@@ -192,6 +260,8 @@ def _joined(fp: np.ndarray, node: np.ndarray, start: int, width: int, budget: in
 def links(words: DataFrame, budget: int = 4, group_limit: int = GROUP_LIMIT, blocks: int | None = None) -> DataFrame:
     """(src, dst) between nodes of words (fp array<long>, node long) that chain up all pairs found within budget bits at one place of fp.
 
+    With columns s0 and s1, a row's sketch, pairs are linked that chain up so and whose sketches agree.
+
     The words of a place are cut into blocks, budget + 1 if not said otherwise: then words within budget agree in one of
     them, and nothing is missed; with fewer blocks only pairs that agree in one are found. Each word is dealt out once by each
     block's value, and the tries of one value are joined in one task. A value with over group_limit words is dealt to
@@ -200,8 +270,8 @@ def links(words: DataFrame, budget: int = 4, group_limit: int = GROUP_LIMIT, blo
     most one edge comes out per word and task.
     """
     cuts = _cuts(blocks or budget + 1)
-    n = len(cuts)
-    each = words.select("node", F.posexplode("fp").alias("place", "fp")).select("node", "fp", F.explode(F.sequence(F.col("place") * n, F.col("place") * n + n - 1)).alias("k"))
+    n, more = len(cuts), [c for c in ("s0", "s1") if c in words.columns]
+    each = words.select("node", *more, F.posexplode("fp").alias("place", "fp")).select("node", *more, "fp", F.explode(F.sequence(F.col("place") * n, F.col("place") * n + n - 1)).alias("k"))
     value = F.lit(None).cast("long")
     for k, (a, w) in enumerate(cuts):  # a block's value is computed where it is needed and not shuffled
         value = F.when(F.col("k") % n == k, F.shiftrightunsigned(F.shiftleft(F.col("fp"), a), 64 - w)).otherwise(value)
@@ -214,20 +284,21 @@ def links(words: DataFrame, budget: int = 4, group_limit: int = GROUP_LIMIT, blo
         own = F.pmod(F.xxhash64("fp", "node"), F.col("parts"))
         tags = F.expr("transform(filter(sequence(0L, coalesce(parts, 1L) - 1), x -> x <> own), x -> least(x, own) * parts + greatest(x, own))")
         each = each.withColumn("v", value).join(large, ["k", "v"], "left").withColumn("own", own)
-        each = each.select("node", "fp", "k", F.explode(F.when(F.col("parts").isNull(), F.array(tag)).otherwise(tags)).alias("tag"))
+        each = each.select("node", *more, "fp", "k", F.explode(F.when(F.col("parts").isNull(), F.array(tag)).otherwise(tags)).alias("tag"))
     else:
         each = each.withColumn("tag", tag)
-    dealt = each.repartition("k", value, "tag").select("fp", "node", "k", value.alias("v"), "tag").sortWithinPartitions("k", "tag", "v")
+    dealt = each.repartition("k", value, "tag").select("fp", "node", "k", value.alias("v"), "tag", *more).sortWithinPartitions("k", "tag", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush(columns: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-            fp, node, k, _, tag = columns
+            fp, node, k, _, tag, *s = columns
+            sketches = np.stack(s).view(np.uint64) if s else None
             edges = np.flatnonzero((k[1:] != k[:-1]) | (tag[1:] != tag[:-1])) + 1
             for a, e in zip([0, *edges.tolist()], [*edges.tolist(), len(k)], strict=True):
                 if e - a > 1:
-                    src, dst = _joined(fp[a:e], node[a:e], *cuts[int(k[a]) % len(cuts)], budget)
+                    src, dst = _joined(fp[a:e], node[a:e], *cuts[int(k[a]) % len(cuts)], budget, None if sketches is None else sketches[:, a:e])
                     if len(src):
                         yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
 
@@ -235,8 +306,8 @@ def links(words: DataFrame, budget: int = 4, group_limit: int = GROUP_LIMIT, blo
         for batch in batches:
             if not batch.num_rows:
                 continue
-            fp, node, k, v, tag = (c.to_numpy() for c in batch.columns)
-            held.append((fp.view(np.uint64), node, k, v, tag))
+            fp, node, k, v, tag, *s = (c.to_numpy() for c in batch.columns)
+            held.append((fp.view(np.uint64), node, k, v, tag, *s))
             size += len(fp)
             if size >= TOGETHER:
                 whole = tuple(np.concatenate(c) for c in zip(*held, strict=True))
