@@ -88,3 +88,13 @@ def test_items_of_few_words(spark):
     long = "one two three four five six seven eight nine ten"
     both = spark.createDataFrame([(1, long), (2, "green blue")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(table.union(spark.createDataFrame([(8, f"green blue {long}")], table.schema)), both).collect()} == {(1, 2), (5, 2), (8, 1), (8, 2)}
+
+
+def test_stage_drops_documents_with_short_items(spark, tmp_path):
+    """The pipeline's stage leaves no item of the benchmark out; each row is judged for itself, null and empty texts stay."""
+    import corpus_pipeline
+
+    long = " ".join(speech(random.Random(10), 12))
+    spark.createDataFrame([(1, "green blue"), (2, long)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(1, "Green, blue.", 5), (1, "green or blue", 6), (None, long, 7), (2, None, 8), (3, "", 9)], "doc_id long, text string, place int")
+    assert sorted(r.place for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()) == [6, 8, 9]
